@@ -5,54 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GAP_MS, BLOCK_MS = 300_000, 3_600_000
+GAP_MS = 300_000
 
 
-def sessionize(
-    events: DataFrame,
-    user: str = "user_id",
-    at_ms: str = "at_ms",
-    event_id: str | None = None,
-    gap_ms: int = GAP_MS,
-    block_ms: int = BLOCK_MS,
-) -> DataFrame:
+def sessionize(events: DataFrame, user: str = "user_id", at_ms: str = "at_ms", event_id: str | None = None, gap_ms: int = GAP_MS) -> DataFrame:
     """One row per session: ``user, start_ms, end_ms, duration_ms, n_events``.
 
     Every event opens an interval of ``gap_ms``; intervals of one user that touch merge (events exactly ``gap_ms`` apart
     are one session). With ``event_id``, repeated copies of an event count once; rows without an id count each.
     Rows whose user is null or empty, or whose time is null, belong to no session. An empty table gives an empty result.
 
-    Interval states merge three times: inside each map task, inside each (user, block of time), and - only for states
-    that reach within a gap of a block's border - across blocks. A user with any share of the rows is thus spread over
-    as many groups as it has blocks, and what remains for the last merge is at most two states per block.
+    Interval states merge twice. Events of one user in the same slot of ``gap_ms`` always touch, so each map task first
+    merges them to one state per slot; only states are shuffled. The second merge, over all states of a user, then has
+    at most one state per slot of the time covered, whatever share of the rows the user holds.
     """
-    spark = events.sparkSession
-    # Merging of interval states before the shuffle; only session windows read this setting.
-    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = events.select(
-        F.nullif(F.col(user), F.lit("")).alias("u"),
-        F.col(at_ms).cast("bigint").alias("t"),
-        *([F.col(event_id).alias("i")] if event_id else []),
-    ).where("u is not null and t is not null")
+        F.nullif(F.col(user), F.lit("")).alias("u"), F.col(at_ms).cast("bigint").alias("t"), *([F.col(event_id).alias("i")] if event_id else [])
+    ).where("u is not null and t is not null")
     if event_id:
         rows = rows.groupBy("u", "t", "i").agg(F.count(F.lit(1)).alias("c")).withColumn("c", F.expr("if(i is null, c, 1)"))
     else:
         rows = rows.withColumn("c", F.lit(1).cast("bigint"))
-    state = [F.min("s").alias("s"), F.max("e").alias("e"), F.sum("c").alias("c")]
-    # Half a millisecond beyond the gap: touching ends merge, ends one millisecond apart do not.
+    slots = rows.groupBy("u", F.floor(F.col("t") / F.lit(gap_ms)).alias("slot")).agg(F.min("t").alias("s"), F.max("t").alias("e"), F.sum("c").alias("c"))
+    # A state reaches a gap beyond its end; half a millisecond more lets touching ends merge and no others.
     reach = F.concat((F.col("e") - F.col("s") + F.lit(gap_ms)).cast("string"), F.lit(" milliseconds 500 microseconds"))
-    within = (
-        rows.select("u", F.col("t").alias("s"), F.col("t").alias("e"), "c", F.floor(F.col("t") / F.lit(block_ms)).alias("b"))
-        .groupBy("u", "b", F.session_window(F.timestamp_millis("s"), f"{gap_ms} milliseconds 500 microseconds"))
-        .agg(*state)
-        .drop("session_window")
-    )
-    near = (F.col("s") - F.col("b") * block_ms <= gap_ms) | ((F.col("b") + 1) * block_ms - F.col("e") <= gap_ms)
-    across = (
-        within.where(near).groupBy("u", F.session_window(F.timestamp_millis("s"), reach)).agg(*state).drop("session_window")
+    return (
+        slots.groupBy("u", F.session_window(F.timestamp_millis("s"), reach))
+        .agg(F.min("s").alias("start_ms"), F.max("e").alias("end_ms"), F.sum("c").alias("n_events"))
+        .select(F.col("u").alias(user), "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "n_events")
     )
+
+
+def sessionize_stream(events: DataFrame, user: str, at: str, gap_ms: int = GAP_MS, late: str = "2 days") -> DataFrame:
+    """The same over a stream with a timestamp column ``at``: ``user, start_ms, end_ms, duration_ms, n_events``.
+
+    Interval states are kept per user until the watermark, ``late`` behind the newest event, has passed their end; an
+    event that late or less still joins, or joins together, the sessions it touches. Later ones are left out.
+    Interval states of a batch merge before the shuffle.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
-        within.where(~near).drop("b").unionByName(across)
-        .select(F.col("u").alias(user), F.col("s").alias("start_ms"), F.col("e").alias("end_ms"),
-                (F.col("e") - F.col("s")).alias("duration_ms"), F.col("c").alias("n_events"))
-    )
+        events.where(F.nullif(F.col(user), F.lit("")).isNotNull())
+        .withWatermark(at, late)
+        .groupBy(user, F.session_window(at, f"{gap_ms} milliseconds 500 microseconds"))
+        .agg(F.min(F.unix_millis(at)).alias("start_ms"), F.max(F.unix_millis(at)).alias("end_ms"), F.count(F.lit(1)).alias("n_events"))
+        .select(user, "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "n_events")
+    )
