@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SECONDS_BELOW, MICROS_FROM = 100_000_000_000, 100_000_000_000_000
 
 #: scheme, then authority without user info; port kept (fixed pattern).
-URL_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#]*)"
+URL_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:[^/?#]*@)?([^/?#]*)"
 
 
 def epoch_ms(c: Column | str) -> Column:
