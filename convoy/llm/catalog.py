@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from convoy.functions.columns import epoch_ms, url_host, utc_day
 from convoy.llm.distinct import distinct_counts, memberships, pattern_totals
 from convoy.llm.frequent import frequent_exact, frequent_items
+from convoy.llm.leaks import find_leaks, remove_leaks
 from convoy.llm.packing import measured, pack
+from convoy.llm.redact import find_pii, redact
 from convoy.llm.tokens import token_counter
 from convoy.sources.tables import table
 
@@ -55,6 +57,23 @@ def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", caps)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_pii(table(spark, sf, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts with stand-ins; the key would come from a secret store, here it is a fixed one so that runs agree."""
+    return redact(table(spark, sf, "documents").select("doc_id", "text"), "test key")
+
+
 _PLACED = """
     with timed as (select *, case when created_at < 100000000000 then created_at * 1000 when created_at >= 100000000000000 then created_at // 1000 else created_at end as t,
         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://(?:[^/?#]*@)?([^/?#]*)', 1) as h from jobs),
@@ -62,7 +81,7 @@ _PLACED = """
         where regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://') and t is not null)"""
 _EITHER = " union all ".join(f"select '{f}' as field_name, {f} as item_value from jobs where {f} <> ''" for f in ("url", "user_id"))
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_distinct, p5_found, p5_frequent, p6_packed)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_distinct, p5_found, p5_frequent, p6_packed, p7_found, p7_cleaned, p8_found, p8_redacted)}
 SQL = {
     "p4_found": f"{_PLACED} select utc_day, host from placed group by all having count(distinct id) >= 20 and 2 * count(distinct nullif(user_id, '')) >= count(distinct id)",
     "p4_distinct": f"{_PLACED} select utc_day, host, count(distinct nullif(user_id, '')) as n_users, count(distinct nullif(url, '')) as n_urls from placed group by cube (utc_day, host)",
