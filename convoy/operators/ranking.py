@@ -1,29 +1,74 @@
-"""Numbering of rows within keys that may hold any share of the table."""
+"""Ordered folds within keys that may hold any share of the table.
+
+A fold over a key's rows in order - a number, a running sum or extreme, the last value so far - is computed in two
+levels: rows are folded inside blocks of a key, blocks are folded among themselves, and each row combines what came
+before its block with what came before it inside. No task ever holds more than one block of a key.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column, out: str = "position") -> DataFrame:
-    """``row_number`` per key (from 1), computed by block.
+class Fold(NamedTuple):
+    """``kind`` is count, sum, max, min or last (the last value that is not null); ``before`` leaves out the row itself."""
+
+    kind: str
+    value: Column | None = None
+    before: bool = False
+
 
-    ``block`` must never fall while ``order`` rises. Rows are numbered inside (key, block); the blocks' sizes, counted
-    with map-side combining, give each block its offset. No task ever holds more than one block of a key.
-    Null keys form one group, as in SQL windows. The order must be total for a repeatable result.
+def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, folds: Mapping[str, Fold]) -> DataFrame:
+    """``df`` with a column per fold, over the rows of the same ``keys`` up to each row in ``order``.
+
+    ``block`` must never fall while ``order`` rises; rows whose block is null form one. Null keys form one group, as in
+    SQL windows. Equal rows in ``order`` are taken one after the other, so it should be total. Counts and sums of
+    nothing are 0, other folds of nothing null.
     """
-    k = [f"_k{i}" for i in range(len(keys))]
-    null_safe = [F.struct(F.col(x)).alias(n) for x, n in zip(keys, k, strict=True)]  # a struct of null joins as equal
-    marked = df.withColumns({n: s for n, s in zip(k, null_safe, strict=True)} | {"_b": block})
-    sizes = marked.groupBy(*k, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*k, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    keys_safe = {f"_k{i}": F.struct(F.col(k)) for i, k in enumerate(keys)}  # a struct of null joins as equal
+    k = [*keys_safe]
+    values = {
+        f"_e{i}": F.lit(1).cast("bigint") if f.kind == "count" else F.when(f.value.isNotNull(), F.struct(*order, f.value.alias("_v"))) if f.kind == "last" else f.value
+        for i, f in enumerate(folds.values())
+    }
+    marked = df.withColumns(keys_safe | values | {"_b": F.struct(block.alias("b"))})
+    how = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min, "last": F.max}
+    per_block = marked.groupBy(*k, "_b").agg(*[how[f.kind](f"_e{i}").alias(f"_o{i}") for i, f in enumerate(folds.values())])
+    earlier = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(*k, "_b", *[how[f.kind](f"_o{i}").over(earlier).alias(f"_o{i}") for i, f in enumerate(folds.values())])
     inside = Window.partitionBy(*k, "_b").orderBy(*order)
-    return (
-        marked.join(offsets, [*k, "_b"])
-        .withColumn(out, F.row_number().over(inside) + F.col("_o"))
-        .select(*df.columns, out)
-    )
+    joined = marked.join(offsets, [*k, "_b"])
+    for i, (name, f) in enumerate(folds.items()):
+        here = how[f.kind](f"_e{i}").over(inside.rowsBetween(Window.unboundedPreceding, -1 if f.before else 0))
+        if f.kind in ("count", "sum"):
+            out = F.coalesce(F.col(f"_o{i}"), F.lit(0)) + F.coalesce(here, F.lit(0))
+        else:
+            out = (F.least if f.kind == "min" else F.greatest)(F.col(f"_o{i}"), here)
+        joined = joined.withColumn(name, out["_v"] if f.kind == "last" else out)
+    return joined.select(*[c for c in df.columns if c not in folds], *folds)
+
+
+def blocks_of(at: str | Column, length: int) -> Column:
+    """Blocks of ``length`` units of an integer time."""
+    return F.floor((F.col(at) if isinstance(at, str) else at) / F.lit(length))
+
+
+def rank_in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str = "position") -> DataFrame:
+    """``row_number`` per key, from 1."""
+    return prefix(df, keys, order, block, {out: Fold("count")})
+
+
+def mark_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], where: Column | None = None) -> DataFrame:
+    """``df`` with ``first``, the struct of ``order`` of the key's first row (for which ``where`` holds; null if none).
+
+    The first rows are found by an aggregate with map-side combining and joined back, where a hot key can be split,
+    as its one first row can be repeated. Null keys form one group.
+    """
+    k = {f"_k{i}": F.struct(F.col(x)) for i, x in enumerate(keys)}
+    marked = df.withColumns(k | {"_at": F.struct(*order)})
+    firsts = marked.groupBy(*k).agg(F.min(F.when(where, F.col("_at")) if where is not None else F.col("_at")).alias("first"))
+    return marked.join(firsts, [*k]).select(*df.columns, "first")
