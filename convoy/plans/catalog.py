@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convoy.plans import problems
+from convoy.plans import problems, store
 
-MODULES = [problems]
+MODULES = [problems, store]
 
 
 def queries() -> dict:
