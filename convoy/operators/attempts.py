@@ -13,9 +13,9 @@ def schedule(jobs: DataFrame, started_us: str, attempts: Column | int = ATTEMPTS
     """One row per attempt: ``attempt`` from 0, ``backoff_s`` before it and ``attempt_us``, ``2**n - 1`` seconds after the start."""
     n = F.lit(attempts) if isinstance(attempts, int) else attempts
     at = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("attempt")
-    offset = F.shiftleft(F.lit(1), F.col("attempt")) - 1
+    offset = F.expr("shiftleft(1, attempt)") - 1
     return jobs.select("*", at).withColumns({
-        "backoff_s": F.when(F.col("attempt") == 0, 0).otherwise(F.shiftleft(F.lit(1), F.col("attempt") - 1)),
+        "backoff_s": F.when(F.col("attempt") == 0, 0).otherwise(F.expr("shiftleft(1, attempt - 1)")),
         "attempt_us": F.col(started_us) + offset.cast("bigint") * 1_000_000,
     })
 

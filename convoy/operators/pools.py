@@ -8,8 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoy.operators.ranking import Fold, prefix
@@ -109,8 +108,8 @@ def round_robin(members: DataFrame, pool: str, member: str, weight_col: str, pic
     w = Window.partitionBy(pool)
     shared = members.join(members.groupBy(pool).agg(F.sum(weight_col).alias("_sum")), pool)
     most = F.ceil(F.col(weight_col) * picks / F.col("_sum")).cast("int") + 1
-    stand = shared.select(pool, member, (F.explode(F.sequence(F.lit(0), most)) / F.col(weight_col)).alias("_v"))
-    ranked = stand.withColumn("pick", F.row_number().over(w.orderBy(F.round("_v", 9), member)))
+    stand = shared.select(pool, member, weight_col, F.explode(F.sequence(F.lit(0), most)).alias("_k")).withColumn("_v", F.col("_k") / F.col(weight_col))
+    ranked = stand.withColumn("pick", F.row_number().over(w.orderBy(F.round("_v", 9), member)).cast("bigint"))
     return ranked.where(F.col("pick") <= picks).select(pool, "pick", member)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convoy.plans import problems, store
+from convoy.plans import dispatch, pools, problems, reports, store
 
-MODULES = [problems, store]
+MODULES = [problems, store, dispatch, pools, reports]
 
 
 def queries() -> dict:
