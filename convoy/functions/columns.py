@@ -12,6 +12,14 @@ SECONDS_BELOW, MICROS_FROM = 100_000_000_000, 100_000_000_000_000
 URL_PARTS = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:[^/?#]*@)?([^/?#]*)"
 
 
+def spare(df, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has or starts with."""
+    tag = "_"
+    while any(c.startswith(tag) for c in df.columns):
+        tag += "_"
+    return [tag + n for n in names]
+
+
 def epoch_ms(c: Column | str) -> Column:
     """Epoch seconds, milliseconds or microseconds as milliseconds (rounded down); null stays null."""
     c = F.col(c) if isinstance(c, str) else c

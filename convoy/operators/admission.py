@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.operators.ranking import Fold, mark_first, prefix
+from convoy.operators.ranking import Fold, Then, mark_first, prefix
 
 #: Wait told where none is configured, and the longest (fixed values), in seconds.
 DEFAULT_WAIT_S, LONGEST_WAIT_S = 5, 60
@@ -66,9 +66,11 @@ def retry_after(checked: DataFrame, order: Sequence[str], rejected: Column, base
     """
     keyed = checked if by else checked.withColumn("_all", F.lit(0))
     keys = [*by] or ["_all"]
-    counted = prefix(keyed, keys, order, block, {"_n": Fold("sum", F.when(rejected, 1).otherwise(0).cast("bigint"))})
-    based = prefix(counted, keys, order, block, {"_at": Fold("last", F.when(~rejected, F.col("_n")))})
-    out = based.where(rejected).withColumn("streak", F.col("_n") - F.coalesce(F.col("_at"), F.lit(0)))
+    # The count so far never falls, so what the last allowed row had is the largest any allowed one had.
+    based = prefix(
+        keyed, keys, order, block, {"_n": Fold("sum", F.when(rejected, 1).otherwise(0).cast("bigint"))}, {"_at": Then("max", F.when(~rejected, F.col("_n")), F.col("_n"))}
+    )
+    out = based.where(rejected).withColumn("streak", F.col("_n") - F.coalesce("_at", F.lit(0)))
     return out.withColumn("retry_after_s", wait_seconds(F.col("streak"), base_s)).drop("_n", "_at", "_all")
 
 

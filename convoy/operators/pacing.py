@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.operators.ranking import Fold, prefix
+from convoy.operators.ranking import Fold, Then, prefix
 
 #: Lowest rate, and growth of the rate per completion without a header (fixed values).
 MIN_RPS, GROWTH = 0.5, 1.05
@@ -23,14 +23,13 @@ def queue_position(jobs: DataFrame, queue: Sequence[str], order: Sequence[str],
     return prefix(jobs, queue, order, block, {"position": Fold("count")})
 
 
-def paced(jobs: DataFrame, queue: Sequence[str], arrived: str, order: Sequence[str], interval: int | Column, block: Column) -> DataFrame:
+def paced(jobs: DataFrame, queue: Sequence[str], arrived: str, order: Sequence[str], interval: int, block: Column) -> DataFrame:
     """Adds ``dispatch_us`` and ``wait_us``: each job at its arrival or one interval after the one before, if later.
 
     With ``n`` the number of earlier jobs: ``interval * n + max over jobs so far of (arrival - interval * n)``.
     """
-    interval = F.lit(interval) if isinstance(interval, int) else interval
-    ranked = prefix(jobs, queue, order, block, {"_n": Fold("count", before=True)})
-    slack = prefix(ranked, queue, order, block, {"_m": Fold("max", F.col(arrived) - interval * F.col("_n"))})
+    interval = F.lit(interval)
+    slack = prefix(jobs, queue, order, block, {"_n": Fold("count", before=True)}, {"_m": Then("max", F.col(arrived) - interval * F.col("_n"), -interval * F.col("_n"))})
     out = slack.withColumn("dispatch_us", (interval * F.col("_n") + F.col("_m")).cast("bigint"))
     return out.withColumn("wait_us", F.col("dispatch_us") - F.col(arrived)).drop("_n", "_m")
 
@@ -41,8 +40,7 @@ def paced_serial(jobs: DataFrame, queue: Sequence[str], arrived: str, service: s
     ``C + max over jobs so far of (arrival - C)``, where ``C`` sums ``greatest(interval, service)`` of earlier jobs.
     """
     step = F.greatest(F.lit(interval), F.coalesce(F.col(service), F.lit(0)))
-    summed = prefix(jobs, queue, order, block, {"_c": Fold("sum", step, before=True)})
-    slack = prefix(summed, queue, order, block, {"_m": Fold("max", F.col(arrived) - F.col("_c"))})
+    slack = prefix(jobs, queue, order, block, {"_c": Fold("sum", step, before=True)}, {"_m": Then("max", F.col(arrived) - F.col("_c"), -F.col("_c"))})
     out = slack.withColumn("dispatch_us", (F.col("_c") + F.col("_m")).cast("bigint"))
     return out.withColumn("wait_us", F.col("dispatch_us") - F.col(arrived)).drop("_c", "_m")
 
@@ -89,11 +87,11 @@ def rate_trajectory(events: DataFrame, queue: Sequence[str], order: Sequence[str
     last header's rate and the number of events since: ``least(configured, base * 1.05 ** since)``.
     """
     clamped = F.when(F.col(header).isNotNull(), F.least(F.lit(configured), F.greatest(F.lit(MIN_RPS), F.col(header))))
-    numbered = prefix(events, queue, order, block, {"_n": Fold("count")})
-    based = prefix(numbered, queue, order, block, {"_base": Fold("last", F.when(clamped.isNotNull(), F.struct(clamped.alias("r"), F.col("_n").alias("at"))))})
-    since = F.least(F.col("_n") - F.coalesce(F.col("_base.at"), F.lit(0)), F.lit(4000))  # keeps the power finite; capped long before
-    rate = F.least(F.lit(configured), F.coalesce(F.col("_base.r"), F.lit(configured)) * F.pow(F.lit(GROWTH), since))
-    return based.withColumn("rps", F.round(rate, 6)).drop("_n", "_base")
+    # Numbers rise, so the last header's number is the largest.
+    based = prefix(events, queue, order, block, {"_n": Fold("count"), "_base": Fold("last", clamped)}, {"_at": Then("max", F.when(clamped.isNotNull(), F.col("_n")), F.col("_n"))})
+    since = F.least(F.col("_n") - F.coalesce("_at", F.lit(0)), F.lit(4000))  # keeps the power finite; capped long before
+    rate = F.least(F.lit(configured), F.coalesce("_base", F.lit(configured)) * F.pow(F.lit(GROWTH), since))
+    return based.withColumn("rps", F.round(rate, 6)).drop("_n", "_base", "_at")
 
 
 def concurrency_trajectory(events: DataFrame, queue: Sequence[str], order: Sequence[str], header: str, configured: int, block: Column) -> DataFrame:

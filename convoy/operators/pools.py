@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.operators.ranking import Fold, prefix
+from convoy.operators.ranking import Fold, Then, prefix
 
 #: Factors on reputation, the floor and how long a member may stay at it, missed beats that evict, lowest weight (fixed values).
 FAILURE, SUCCESS, HEARTBEAT = 0.5, 1.5, 1.1
@@ -35,10 +35,10 @@ def reputation(events: DataFrame, member: Sequence[str], order: Sequence[str], b
     three running counts, so it does not depend on how sums are split.
     """
     is_ = lambda k: F.when(F.col(kind) == k, 1).otherwise(0).cast("bigint")
-    counted = prefix(events, member, order, block, {f"_{k[0]}": Fold("sum", is_(k)) for k in ("failure", "success", "heartbeat")})
     walk = F.col("_f") * F.log(F.lit(FAILURE)) + F.col("_s") * F.log(F.lit(SUCCESS)) + F.col("_h") * F.log(F.lit(HEARTBEAT))
-    topped = prefix(counted.withColumn("_w", walk), member, order, block, {"_m": Fold("max", F.col("_w"))})
-    return topped.withColumn("reputation", F.exp(F.col("_w") - F.greatest(F.lit(0.0), F.col("_m")))).drop("_f", "_s", "_h", "_w", "_m")
+    counts = {f"_{k[0]}": Fold("sum", is_(k)) for k in ("failure", "success", "heartbeat")}
+    topped = prefix(events, member, order, block, counts, {"_m": Then("max", walk, walk)})
+    return topped.withColumn("reputation", F.exp(walk - F.greatest(F.lit(0.0), F.col("_m")))).drop("_f", "_s", "_h", "_m")
 
 
 def final_reputation(events: DataFrame, member: Sequence[str], order: Sequence[str], block: Column) -> DataFrame:
@@ -55,8 +55,10 @@ def first_eviction(events: DataFrame, member: Sequence[str], at_us: str, order:
     """
     walked = reputation(events, member, order, block).where("kind <> 'heartbeat'")
     floor = (F.col("kind") == "failure") & (F.col("reputation") <= FLOOR)
-    cleared = prefix(walked, member, order, block, {"_g": Fold("sum", F.when(floor, 0).otherwise(1).cast("bigint"))}).where(floor)
-    timed = prefix(cleared, [*member, "_g"], order, block, {"_t0": Fold("min", F.col(at_us))})
+    # The timer's start is the last failure at the floor that follows something else.
+    after = prefix(walked.withColumn("_low", floor), member, order, block, {"_before": Fold("last", F.col("_low"), before=True)})
+    starts = F.col("_low") & ~F.coalesce("_before", F.lit(False))
+    timed = prefix(after, member, order, block, {"_t0": Fold("last", F.when(starts, F.col(at_us)))}).where("_low")
     return timed.where(F.col(at_us) - F.col("_t0") >= stay_us).groupBy(*member).agg(F.min(at_us).alias("evicted_us"))
 
 

@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoy.functions.columns import spare
+
 
 class Fold(NamedTuple):
     """``kind`` is count, sum, max, min or last (the last value that is not null); ``before`` leaves out the row itself."""
@@ -22,34 +24,62 @@ class Fold(NamedTuple):
     before: bool = False
 
 
-def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, folds: Mapping[str, Fold]) -> DataFrame:
+class Then(NamedTuple):
+    """A running max or min of ``value``, an expression that may name other folds of the same call.
+
+    Inside a block those are still without what came before it; ``shift``, an expression of what came before them, is
+    what that adds to ``value``.
+    """
+
+    kind: str
+    value: Column
+    shift: Column
+
+
+_HOW = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min, "last": F.max}
+
+
+def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, folds: Mapping[str, Fold], then: Mapping[str, Then] | None = None) -> DataFrame:
     """``df`` with a column per fold, over the rows of the same ``keys`` up to each row in ``order``.
 
     ``block`` must never fall while ``order`` rises; rows whose block is null form one. Null keys form one group, as in
     SQL windows. Equal rows in ``order`` are taken one after the other, so it should be total. Counts and sums of
-    nothing are 0, other folds of nothing null.
+    nothing are 0, other folds of nothing null. Rows are shuffled once, by key and block; blocks are few.
     """
-    keys_safe = {f"_k{i}": F.struct(F.col(k)) for i, k in enumerate(keys)}  # a struct of null joins as equal
+    then = then or {}
+    (t,) = spare(df, "")
+    keys_safe = {f"{t}k{i}": F.struct(F.col(k)) for i, k in enumerate(keys)}  # a struct of null joins as equal
     k = [*keys_safe]
     values = {
-        f"_e{i}": F.lit(1).cast("bigint") if f.kind == "count" else F.when(f.value.isNotNull(), F.struct(*order, f.value.alias("_v"))) if f.kind == "last" else f.value
-        for i, f in enumerate(folds.values())
+        f"{t}e_{n}": F.lit(1).cast("bigint") if f.kind == "count" else F.when(f.value.isNotNull(), F.struct(F.struct(*order), f.value.alias("v"))) if f.kind == "last" else f.value
+        for n, f in folds.items()
     }
-    marked = df.withColumns(keys_safe | values | {"_b": F.struct(block.alias("b"))})
-    how = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min, "last": F.max}
-    per_block = marked.groupBy(*k, "_b").agg(*[how[f.kind](f"_e{i}").alias(f"_o{i}") for i, f in enumerate(folds.values())])
-    earlier = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(*k, "_b", *[how[f.kind](f"_o{i}").over(earlier).alias(f"_o{i}") for i, f in enumerate(folds.values())])
-    inside = Window.partitionBy(*k, "_b").orderBy(*order)
-    joined = marked.join(offsets, [*k, "_b"])
-    for i, (name, f) in enumerate(folds.items()):
-        here = how[f.kind](f"_e{i}").over(inside.rowsBetween(Window.unboundedPreceding, -1 if f.before else 0))
-        if f.kind in ("count", "sum"):
-            out = F.coalesce(F.col(f"_o{i}"), F.lit(0)) + F.coalesce(here, F.lit(0))
-        else:
-            out = (F.least if f.kind == "min" else F.greatest)(F.col(f"_o{i}"), here)
-        joined = joined.withColumn(name, out["_v"] if f.kind == "last" else out)
-    return joined.select(*[c for c in df.columns if c not in folds], *folds)
+    marked = df.withColumns(keys_safe | values | {f"{t}b": F.struct(block.alias("b"))})
+    inside = Window.partitionBy(*k, f"{t}b").orderBy(*order)
+
+    def nothing(f: Fold, c: Column) -> Column:
+        return F.coalesce(c, F.lit(0)) if f.kind in ("count", "sum") else c
+
+    local = marked.withColumns({n: nothing(f, _HOW[f.kind](f"{t}e_{n}").over(inside.rowsBetween(Window.unboundedPreceding, -1 if f.before else 0))) for n, f in folds.items()})
+    if then:
+        local = local.withColumns({f"{t}e_{n}": x.value for n, x in then.items()})
+        summed = local
+        local = local.withColumns({n: _HOW[x.kind](f"{t}e_{n}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for n, x in then.items()})
+    else:
+        summed = marked  # blocks add up without windows, and before the shuffle
+    blocks = summed.groupBy(*k, f"{t}b").agg(*[_HOW[f.kind](f"{t}e_{n}").alias(f"{t}t_{n}") for n, f in (folds | then).items()])
+    earlier = Window.partitionBy(*k).orderBy(f"{t}b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumns({n: nothing(f, _HOW[f.kind](f"{t}t_{n}").over(earlier)) for n, f in folds.items()})
+    if then:
+        offsets = offsets.withColumns({f"{t}s_{n}": x.shift for n, x in then.items()})
+        offsets = offsets.withColumns({n: _HOW[x.kind](F.col(f"{t}t_{n}") + F.col(f"{t}s_{n}")).over(earlier) for n, x in then.items()})
+    offsets = offsets.select(*k, f"{t}b", *[F.col(n).alias(f"{t}o_{n}") for n in (*folds, *then)], *[f"{t}s_{n}" for n in then])
+    out = {}
+    for n, f in (folds | then).items():
+        here, before = F.col(n) + F.col(f"{t}s_{n}") if n in then else F.col(n), F.col(f"{t}o_{n}")
+        both = here + before if f.kind in ("count", "sum") else (F.least if f.kind == "min" else F.greatest)(before, here)
+        out[n] = both["v"] if f.kind == "last" else both
+    return local.join(offsets, [*k, f"{t}b"]).withColumns(out).select(*[c for c in df.columns if c not in out], *out)
 
 
 def blocks_of(at: str | Column, length: int) -> Column:
@@ -68,7 +98,8 @@ def mark_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], where:
     The first rows are found by an aggregate with map-side combining and joined back, where a hot key can be split,
     as its one first row can be repeated. Null keys form one group.
     """
-    k = {f"_k{i}": F.struct(F.col(x)) for i, x in enumerate(keys)}
-    marked = df.withColumns(k | {"_at": F.struct(*order)})
-    firsts = marked.groupBy(*k).agg(F.min(F.when(where, F.col("_at")) if where is not None else F.col("_at")).alias("first"))
-    return marked.join(firsts, [*k]).select(*df.columns, "first")
+    at, t = spare(df, "at", "k")
+    k = {f"{t}{i}": F.struct(F.col(x)) for i, x in enumerate(keys)}
+    marked = df.withColumns(k | {at: F.struct(*order)})
+    firsts = marked.groupBy(*k).agg(F.min(F.when(where, F.col(at)) if where is not None else F.col(at)).alias("first"))
+    return marked.join(firsts, [*k]).select(*[c for c in marked.columns if c not in (*k, at, "first")], firsts["first"])

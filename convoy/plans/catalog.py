@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convoy.plans import dispatch, pools, problems, reports, store
+from convoy.plans import dispatch, pools, problems, reports, store, streams
 
-MODULES = [problems, store, dispatch, pools, reports]
+MODULES = [problems, store, dispatch, pools, reports, streams]
 
 
 def queries() -> dict:

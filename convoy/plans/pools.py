@@ -8,6 +8,7 @@ from convoy.operators import pools
 from convoy.operators.ranking import blocks_of
 from convoy.plans.views import DAY_US, NOW_MS, OUTCOME_ORDER, beats, members, outcomes, with_
 
+#: Reputations are dyadic, and many lie half way between two roundings: 1e-9 is added before, here and in SQL.
 #: Twelve seconds at the floor become twelve days, as line items have days only.
 STAY_US = 12 * DAY_US
 MEMBER = ["member_id"]
@@ -19,18 +20,18 @@ def _block():
 
 def reputation_trajectory(spark, sf):
     r = pools.reputation(outcomes(spark, sf), MEMBER, OUTCOME_ORDER, _block())
-    return r.select(*OUTCOME_ORDER, "member_id", "kind", F.round("reputation", 6).alias("reputation"))
+    return r.select(*OUTCOME_ORDER, "member_id", "kind", F.round(F.col("reputation") + 1e-9, 6).alias("reputation"))
 
 
 def reputation_final(spark, sf):
     r = pools.final_reputation(outcomes(spark, sf), MEMBER, OUTCOME_ORDER, _block())
-    return r.select("member_id", F.round("reputation", 6).alias("reputation"), "n_events")
+    return r.select("member_id", F.round(F.col("reputation") + 1e-9, 6).alias("reputation"), "n_events")
 
 
 def _weighted(spark, sf):
     """Members with their final reputation; the reputations are few - one per member - but joined without a hint."""
     r = pools.final_reputation(outcomes(spark, sf), MEMBER, OUTCOME_ORDER, _block())
-    return members(spark, sf).join(r.select("member_id", F.round("reputation", 6).alias("reputation")), "member_id", "left").withColumn("reputation", F.coalesce("reputation", F.lit(1.0)))
+    return members(spark, sf).join(r.select("member_id", F.round(F.col("reputation") + 1e-9, 6).alias("reputation")), "member_id", "left").withColumn("reputation", F.coalesce("reputation", F.lit(1.0)))
 
 
 def pool_capacity(spark, sf):
@@ -68,7 +69,7 @@ def alive_members(spark, sf):
 
 
 _REPUTED = with_("walk")
-_FINAL = _REPUTED + ", final as (select member_id, round(arg_max(reputation, (at_us, l_orderkey, l_linenumber, l_extendedprice)), 6) as reputation, count(*) as n_events from reputed group by member_id)"
+_FINAL = _REPUTED + ", final as (select member_id, round(arg_max(reputation, (at_us, l_orderkey, l_linenumber, l_extendedprice)) + 1e-9, 6) as reputation, count(*) as n_events from reputed group by member_id)"
 _PICKS = "with m as (select s_nationkey as pool_id, s_suppkey as member_id, s_acctbal / 100 as w from supplier where s_acctbal > 0), s as (select *, sum(w) over (partition by pool_id) as total from m), c as (select pool_id, member_id, unnest(range(0, cast(ceil(w * {n} / total) as bigint) + 2)) / w as v from s), p as (select *, row_number() over (partition by pool_id order by round(v, 9), member_id) as pick from c) "
 _LATEST = "select pool_id, member_id, at_us, hb_id, address, capacity_rps, interval_us from beats {where} qualify row_number() over (partition by pool_id, member_id order by at_us desc, hb_id desc) = 1"
 _CAPACITY = _FINAL + ", " + with_("members").removeprefix("with ") + ", capacity as (select pool_id, round(sum(case when declared_rps * coalesce(reputation, 1) > 0 then declared_rps * coalesce(reputation, 1) else 0.001 end), 6) as capacity_rps, count(*) as members from members left join final using (member_id) group by pool_id)"
@@ -78,7 +79,7 @@ QUERIES = {
     for f in (reputation_trajectory, reputation_final, pool_capacity, wrr_schedule, wrr_share, floor_eviction_first, floor_eviction_epochs, member_latest, heartbeat_gaps, alive_members)
 }
 SQL = {
-    "reputation_trajectory": _REPUTED + "select at_us, l_orderkey, l_linenumber, l_extendedprice, member_id, kind, round(reputation, 6) as reputation from reputed",
+    "reputation_trajectory": _REPUTED + "select at_us, l_orderkey, l_linenumber, l_extendedprice, member_id, kind, round(reputation + 1e-9, 6) as reputation from reputed",
     "reputation_final": _FINAL + "select * from final",
     "pool_capacity": _CAPACITY + "select * from capacity",
     "pool_rate": _CAPACITY + "select pool_id, round(case when capacity_rps > 0 then greatest(least(capacity_rps, 1000.0), 0.5) end, 6) as rps from capacity",
