@@ -21,7 +21,7 @@ def memberships(df: DataFrame, fields: Sequence[str], groups: Sequence[str]) ->
         F.struct(F.lit(f).alias("field_name"), F.xxhash64(F.col(f)).alias("i1"), F.xxhash64(F.lit(7), F.col(f)).alias("i2"), text(f).isNotNull().alias("there"))
         for f in fields
     ]))
-    return df.select(ids.alias("i"), *groups).where("i.there").select("i.field_name", "i.i1", "i.i2", *groups).distinct()
+    return df.select(ids.alias("__id"), *groups).where("__id.there").select("__id.field_name", "__id.i1", "__id.i2", *groups).distinct()
 
 
 def merge_memberships(*parts: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def distinct_counts(patterns: DataFrame, by: Sequence[Sequence[str]]) -> DataFra
     levels = F.explode(F.array(*[
         F.struct(F.lit(i).alias("level"), *[(F.col(g) if g in one else F.lit(None).cast(kind[g])).alias(g) for g in groups]) for i, one in enumerate(by)
     ]))
-    spread = patterns.select("field_name", "p1", "p2", "n_ids", levels.alias("l")).select("field_name", "p1", "p2", "n_ids", "l.*").distinct()
+    spread = patterns.select("field_name", "p1", "p2", "n_ids", levels.alias("__l")).select("field_name", "p1", "p2", "n_ids", "__l.*").distinct()
     return spread.groupBy("field_name", "level", *groups).agg(F.sum("n_ids").alias("n_distinct"))
 
 

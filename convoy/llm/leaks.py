@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convoy.functions.columns import spare
 from convoy.llm.words import placed_words, words
 
 #: Consecutive words that make a passage.
@@ -94,19 +96,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     result = None
     for grams in item_blocks(items, item_id, item_text, n, block_chars):
-
-        def scan(batches: Iterator[pd.DataFrame], grams=grams) -> Iterator[pd.DataFrame]:
-            own = grams.value
-            for batch in batches:
-                ids = batch["d"].tolist()
-                pairs = {(ids[t], int(i)) for t, _, g in own.hits(batch["t"].tolist()) for i in own.items[g]}
-                yield pd.DataFrame(list(pairs), columns=["d", "i"])
-
-        part = source.mapInPandas(scan, f"d {dict(source.dtypes)['d']}, i bigint")
+        part = source.mapInArrow(_scanner(grams), f"d {dict(source.dtypes)['d']}, i bigint")
         result = part if result is None else result.unionByName(part)
     return result.distinct().select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
 
 
+def _scanner(grams):
+    """Ids pass as Arrow values, so that null ids do not turn their neighbours into floating point."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = grams.value
+        for batch in batches:
+            pairs = sorted({(t, int(i)) for t, _, g in own.hits(batch.column(1).to_pylist()) for i in own.items[g]})
+            rows = pa.array([t for t, _ in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([i for _, i in pairs], pa.int64())], names=["d", "i"])
+
+    return scan
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans (begin, end)."""
     out, at = [], 0
@@ -123,9 +130,10 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     A document of whose words more than ``max_share`` are leaked is left out. Null texts stay null.
     """
     cleaned = docs.withColumn("n_cut", F.lit(0).cast("bigint"))
+    (c,) = spare(cleaned, "c")
     for grams in item_blocks(items, item_id, item_text, n, block_chars):
-        cleaned = cleaned.withColumn("_c", _cleaner(grams, n)(text)).where(F.col("_c.share") <= max_share)
-        cleaned = cleaned.withColumns({text: F.col("_c.text"), "n_cut": F.col("n_cut") + F.col("_c.cut")}).drop("_c")
+        cleaned = cleaned.withColumn(c, _cleaner(grams, n)(text)).where(F.col(f"{c}.share") <= max_share)
+        cleaned = cleaned.withColumns({text: F.col(f"{c}.text"), "n_cut": F.col("n_cut") + F.col(f"{c}.cut")}).drop(c)
     return cleaned
 
 

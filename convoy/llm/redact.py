@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoy.functions.columns import spare
 from convoy.llm.pii import Detector
 from convoy.llm.surrogates import Surrogates, units
 from convoy.sources.tables import shared_dir
@@ -24,13 +26,14 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", given_
     """
     source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t <> ''")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Detector(given_names)
         for batch in batches:
-            rows = {(d, kind, t[a:b]): None for d, t in zip(batch["d"].tolist(), batch["t"].tolist(), strict=True) for a, b, kind in own.spans(t)}
-            yield pd.DataFrame(list(rows), columns=["d", "k", "v"])
+            rows = list({(i, kind, t[a:b]): None for i, t in enumerate(batch.column(1).to_pylist()) for a, b, kind in own.spans(t)})
+            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["d", "k", "v"])
 
-    found = source.mapInPandas(scan, f"d {dict(source.dtypes)['d']}, k string, v string").distinct()
+    found = source.mapInArrow(scan, f"d {dict(source.dtypes)['d']}, k string, v string").distinct()
     return found.select(F.col("d").alias(doc_id), F.col("k").alias("kind"), F.col("v").alias("pii_value"))
 
 
@@ -102,15 +105,16 @@ def redact(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text"
 
         return write
 
+    r, d, x = spare(docs, "r", "d", "a")
     if few:
-        known = docs.sparkSession.sparkContext.broadcast({(r.role, r.norm): r.attempt for r in again.collect()} if again is not None else {})
+        known = docs.sparkSession.sparkContext.broadcast({(u.role, u.norm): u.attempt for u in again.collect()} if again is not None else {})
 
         def by_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             own, write = Detector(given_names), writer(known.value)
             for texts in batches:
                 yield pd.DataFrame([write(own, t) for t in texts], columns=["text", "n"])
 
-        done = docs.withColumn("_r", F.pandas_udf(by_text, "text string, n bigint")(text))
+        done = docs.withColumn(r, F.pandas_udf(by_text, "text string, n bigint")(text))
     else:
         # Many units needed another try: each document gets those of its own units, joined by document.
         def unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,15 +125,15 @@ def redact(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text"
 
         source = docs.select(F.xxhash64(text).alias("d"), F.col(text).alias("t")).where("t <> ''")
         own_units = source.mapInPandas(unit_rows, "d bigint, role string, norm string").distinct()
-        per_text = own_units.join(again, ["role", "norm"]).groupBy("d").agg(F.collect_list(F.struct("role", "norm", "attempt")).alias("_a"))
+        per_text = own_units.join(again, ["role", "norm"]).groupBy(F.col("d").alias(d)).agg(F.collect_list(F.struct("role", "norm", "attempt")).alias(x))
 
         def by_row(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             own, write = Detector(given_names), writer({})
             for texts, lists in batches:
                 yield pd.DataFrame(
-                    [write(own, t, {(u["role"], u["norm"]): u["attempt"] for u in (x if x is not None else ())}) for t, x in zip(texts, lists, strict=True)], columns=["text", "n"]
+                    [write(own, t, {(u["role"], u["norm"]): u["attempt"] for u in (own_units if own_units is not None else ())}) for t, own_units in zip(texts, lists, strict=True)], columns=["text", "n"]
                 )
 
-        joined = docs.withColumn("_d", F.xxhash64(text)).join(per_text.withColumnRenamed("d", "_d"), "_d", "left")
-        done = joined.withColumn("_r", F.pandas_udf(by_row, "text string, n bigint")(text, "_a")).drop("_d", "_a")
-    return done.withColumns({text: F.col("_r.text"), "n_replaced": F.col("_r.n")}).drop("_r")
+        joined = docs.withColumn(d, F.xxhash64(text)).join(per_text, d, "left")
+        done = joined.withColumn(r, F.pandas_udf(by_row, "text string, n bigint")(text, x)).drop(d, x)
+    return done.withColumns({text: F.col(f"{r}.text"), "n_replaced": F.col(f"{r}.n")}).drop(r)
