@@ -42,7 +42,7 @@ _LOCAL, _LABEL, _TOP = r"[^\W_](?:[\w.+%\-]*[^\W_])?", r"[^\W_](?:[\w\-]*[^\W_])
 _AT = r"(?:\s?[\[({<]\s?at\s?[\])}>]\s?|&#0*64;|&commat;)"
 _DOT = r"(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s+dot\s+|\.)"
 EMAIL_AT = re.compile(
-    rf"(?<![\w.+%\-/])(?:{_LOCAL}(?:@|{_AT}){_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}{_TOP}|{_LOCAL}\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})*?\s+dot\s+{_TOP})", re.I
+    rf"(?<![\w.+%\-/])(?:{_LOCAL}(?:@|{_AT}){_LABEL}(?:{_DOT}{_LABEL})*{_DOT}{_TOP}|{_LOCAL}\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})*\s+dot\s+{_TOP})", re.I
 )
 MAY_MAIL = re.compile(r"@|&#0*64;|&commat;|[\[({<]\s?at\s?[\])}>]|\bat\s+[\w\-]+\s+dot\b", re.I)
 
