@@ -74,17 +74,20 @@ _STREET_DE = r"stra(?:ß|ss)e|str|weg|platz|gasse|allee|ring|damm|ufer|graben|st
 _STREET_FR = r"rue|avenue|av\.|boulevard|bd\.?|impasse|chemin|allée|allee|place|quai|cours|ruelle|route|passage|square|sentier|faubourg"
 _STREET_ES = r"calle|c/|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|callejón|travesía|glorieta|carretera"
 _NO = r"\d{1,4}(?:[a-z](?!\w)|[ ][a-z](?=[ \t]*(?:[,.;:)\]\r\n]|$))| ?(?:bis|ter)(?!\w))?"
-ADDRESS_AT = re.compile(
-    "|".join((
-        rf"(?<![\w.\-/]){_NO},?{_GAP}(?:{_L}[\w'’\-]*{_GAP}){{1,3}}?(?:(?:{_STREET_EN})\b\.?)",
-        rf"(?<![\w]){_L}[\w\-]*(?:{_STREET_DE})\b\.?,?{_GAP}{_NO}(?!\w)",
-        rf"(?<![\w])(?:{_L}+er|(?-i:[{_UP}]){_L}+|[a-zß\-]+sche){_GAP}(?:{_STREET_DE})\b\.?,?{_GAP}{_NO}(?!\w)",
-        rf"(?<![\w])(?:am|im|an der|an den|auf der|auf dem|in der|in den|zum|zur|unter den|hinter der|hinter dem|vor dem|beim|bei der){_GAP}(?-i:[{_UP}]){_L}+{_GAP}{_NO}(?!\w)",
-        rf"(?<![\w.\-/]){_NO},?{_GAP}(?:{_STREET_FR}){_GAP}(?:(?:de la|de l['’]|des|du|de|d['’]|aux|au|à la|saint|sainte){_GAP}?)*{_L}[\w'’\-]*(?:{_GAP}(?-i:[{_UP}]){_L}+)*",
-        rf"(?<![\w])(?:{_STREET_ES}){_GAP}?(?:(?:de la|de los|de las|del|de|la|el|los|las){_GAP})*{_L}[\w'’\-]*(?:{_GAP}(?:(?:de la|del|de|y){_GAP})?(?-i:[{_UP}]){_L}+)*,?{_GAP}(?:(?:n\.?\s?[º°o]\.?|núm\.?|no\.?|nº){_GAP}?)?{_NO}(?!\w)",
-    )), re.I,
+_DE_PLACE = r"am|im|an der|an den|auf der|auf dem|in der|in den|zum|zur|unter den|hinter der|hinter dem|vor dem|beim|bei der"
+#: A house number, from which addresses are looked for in both directions.
+HOUSE = re.compile(r"(?<![\w.\-/:,+(])\d{1,4}(?![\d:/\-]|[.,]\d)")
+NUMBER_FIRST = re.compile(
+    rf"{_NO},?{_GAP}(?:(?:{_L}[\w'’\-]*{_GAP}){{1,3}}?(?:{_STREET_EN})\b\.?"
+    rf"|(?:{_STREET_FR}){_GAP}(?:(?:de la|de l['’]|des|du|de|d['’]|aux|au|à la|saint|sainte){_GAP}?)*{_L}[\w'’\-]*(?:{_GAP}(?-i:[{_UP}]){_L}+)*)", re.I,
 )
-MAY_DWELL = re.compile(rf"(?<!\w)(?:{_STREET_EN}|{_STREET_FR}|{_STREET_ES})(?!\w)|(?:{_STREET_DE})\b|(?<!\w)(?:am|im|an der|an den|auf der|auf dem|in der|in den|zum|zur|unter den|hinter der|hinter dem|vor dem|beim|bei der)\s", re.I)
+NUMBER_LAST = re.compile(
+    rf"(?<!\w)(?:{_L}[\w\-]*(?:{_STREET_DE})\b\.?,?|(?:{_L}+er|(?-i:[{_UP}]){_L}+|[a-zß\-]+sche){_GAP}(?:{_STREET_DE})\b\.?,?|(?:{_DE_PLACE}){_GAP}(?-i:[{_UP}]){_L}+){_GAP}{_NO}(?!\w)"
+    rf"|(?<!\w)(?:{_STREET_ES}){_GAP}?(?:(?:de la|de los|de las|del|de|la|el|los|las){_GAP})*{_L}[\w'’\-]*(?:{_GAP}(?:(?:de la|del|de|y){_GAP})?(?-i:[{_UP}]){_L}+)*,?{_GAP}(?:(?:n\.?\s?[º°o]\.?|núm\.?|no\.?|nº){_GAP}?)?{_NO}(?!\w)", re.I,
+)
+#: What the words before a number must hold for a street to stand there: an ending, or a word (from the patterns above).
+_ENDS = tuple("straße strasse str weg platz gasse allee ring damm ufer graben steig pfad chaussee hof berg markt wall".split())
+_STARTS = frozenset("am im an auf in zum zur unter hinter vor beim bei calle avenida avda avda. plaza paseo camino carrera ronda callejón travesía glorieta carretera".split())
 
 URL_AT = re.compile(r"(?:https?://|www\.)[^\s<>\[\]\"']+", re.I)
 
@@ -128,9 +131,8 @@ class Detector:
                 add(a, m.end(), EMAIL)
         if "://" in text or "www." in text:
             taken += [m.span() for m in URL_AT.finditer(text)]
-        if MAY_DWELL.search(text):
-            for a, b in self.addresses(text):
-                add(a, b, ADDRESS)
+        for a, b in self.addresses(text):
+            add(a, b, ADDRESS)
         for a, b in self.id_numbers(text):
             add(a, b, ID_NUMBER)
         for m in PHONE_NUMBER.finditer(text):
@@ -153,8 +155,16 @@ class Detector:
 
     @staticmethod
     def addresses(text: str):
-        for m in ADDRESS_AT.finditer(text):
-            yield m.span()
+        for n in HOUSE.finditer(text):
+            a = n.start()
+            if m := NUMBER_FIRST.match(text, a):
+                yield m.span()
+                continue
+            before = text[max(0, a - 60) : a].replace("&nbsp;", " ").lower().split()[-8:]
+            if before and (before[-1].rstrip(".,").endswith(_ENDS) or not _STARTS.isdisjoint(before) or any(w.startswith("c/") for w in before)):
+                for m in NUMBER_LAST.finditer(text, max(0, a - 60), a + 16):
+                    if m.start() < a < m.end():
+                        yield m.span()
 
     def names(self, text: str):
         for w in self._word.finditer(text):
