@@ -22,7 +22,7 @@ tamsin tatiana teresa theo thomas tobias tomas ulrike ursula valentina vera vict
 """
 
 #: Small words before a family name (fixed list).
-PARTICLES = r"(?:de la|de las|de los|van der|van den|van de|von der|von dem|von|van|vom|zu|zum|zur|den|der|ter|ten|de|del|della|delle|di|da|das|dos|do|du|des|le|la|af|av|al|el|bin|ibn)"
+PARTICLES = r"(?i:de la|de las|de los|van der|van den|van de|von der|von dem|von|van|vom|zu|zum|zur|den|der|ter|ten|de|del|della|delle|di|da|das|dos|do|du|des|le|la|los|las|af|av|al|el|bin|ibn)"
 
 #: Capitalised words that stand beside names without being part of them (fixed list).
 NO_NAMES = set("""
@@ -55,7 +55,9 @@ ID_WORD = re.compile(
     r"|steuer-?id(?:entifikationsnummer)?|steuernummer|personalausweis(?:nummer)?|ausweis(?:nummer|-nr)?|reisepass(?:nummer)?|pass(?:nummer|-nr)|sozialversicherungsnummer|rentenversicherungsnummer"
     r"|passeport|num[ée]ro (?:fiscal|de s[ée]curit[ée] sociale|de passeport)|s[ée]curit[ée] sociale|carte d['’]identit[ée]|nir|dni|nie|nif|n[úu]mero de la seguridad social|seguridad social|pasaporte|(?:mi )?documento(?: nacional)?(?: de identidad)?|c[ée]dula|identificaci[óo]n|pi[èe]ce d['’]identit[ée]|num[ée]ro d['’]identit[ée]|n° de s[ée]curit[ée] sociale|ausweis)(?!\w)", re.I
 )
-ID_VALUE = re.compile(r"(?<![\w.])(?:[A-Z]{1,3}[ \-]?)?\d(?:[ \-.]?[A-Z0-9]){5,16}(?![\w])|(?<!\w)[A-Z]{2}(?:[ \-]?\d\d){3}[ \-]?[A-Z](?!\w)|(?<!\w)[A-Z0-9]{2}\d{5,8}[A-Z0-9](?!\w)")
+ID_VALUE = re.compile(
+    r"(?<![\w.])(?:[a-z]{2}(?: \d\d){3} [a-z](?!\w)|(?:(?-i:[A-Z]{1,3})[ \-]?|[a-z]{1,3})?\d(?:[ \-.]?\d){4,14}(?:[a-z](?!\w)|[ \-](?-i:[A-Z])(?!\w)|(?!\w))|(?-i:[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z])(?!\w)|(?-i:(?=[A-Z]*\d[A-Z]*\d)[A-Z0-9]{7,12})(?!\w))", re.I
+)
 
 PHONE_NUMBER = re.compile(
     r"(?<![\w.\-+/=:#])(?:"

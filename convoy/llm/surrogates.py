@@ -73,11 +73,13 @@ def name_parts(value: str) -> list[tuple[str, int, int]]:
     """(role, begin, end) of each word of a name: g given, i initial, f family; particles and elided ones stay."""
     words = [(m[0], *m.span()) for m in _NAME_WORD.finditer(value)]
     turned = "," in value
-    small = [bool(_PARTICLE.match(w.lower())) and (w.islower() or not turned) and k > 0 for k, (w, _, _) in enumerate(words)]
+    comma = value.find(",")
+    last = max((k for k, (_, a, _) in enumerate(words) if not turned or a < comma), default=0)  # the family name itself
+    small = [bool(_PARTICLE.match(w)) and k != last and (k > 0 or turned) for k, (w, _, _) in enumerate(words)]
     out = []
     for k, (w, a, b) in enumerate(words):
-        after_comma = turned and a > value.index(",")
-        if small[k] and w.islower() or len(w) == 1 and value[b : b + 1] in ("'", "’"):
+        after_comma = turned and a > comma
+        if small[k] and not after_comma or len(w) == 1 and value[b : b + 1] in ("'", "’"):
             continue
         if len(w) == 1:
             out.append(("i", a, b))

@@ -35,6 +35,7 @@ def found(text):
         ("Attn Ilse VARKENKOV: as Dr. Dario E. Zellovin wrote", {(NAME, "Ilse VARKENKOV"), (NAME, "Dario E. Zellovin")}),
         ("Regards, Ilmucchi, Élodie\nAsk N. von Sorvucchi-Ulm about it", {(NAME, "Ilmucchi, Élodie"), (NAME, "N. von Sorvucchi-Ulm")}),
         ("-- \n> rosalind pellardt\nfound by pavla jostamba on", {(NAME, "rosalind pellardt"), (NAME, "pavla jostamba")}),
+        ("Attn Łucja DE LA ULMARRE: ID card qq252607c if a", {(NAME, "Łucja DE LA ULMARRE"), (ID_NUMBER, "qq252607c")}),
         ("Thanks, Quentin! Alder Press sells it; an ode refuses rows", set()),
         ("On day 5, Siân Ulmewick <sian.ulmewick@post.example> wrote:", {(NAME, "Siân Ulmewick"), (EMAIL, "sian.ulmewick@post.example")}),
     ],
@@ -56,7 +57,7 @@ def test_coreference():
     family = S.replace(NAME, "Dario Zellovin").split()[1]
     assert S.replace(NAME, "Zellovin, Dario") == f"{family}, {S.replace(NAME, 'Dario Zellovin').split()[0]}"
     assert S.replace(NAME, "D. ZELLOVIN") == f"{S.replace(NAME, 'Dario Zellovin')[0]}. {family.upper()}"
-    assert S.replace(NAME, "Ilse von Zellovin").endswith(f" von {family}")
+    assert S.replace(NAME, "Ilse von Zellovin").endswith(f" von {family}") and S.replace(NAME, "DE LA Zellovin, Ilse").startswith(f"DE LA {family}, ")
     assert S.replace(EMAIL, "A.b@K.Test").lower() == S.replace(EMAIL, "a.b@k.test") and S.replace(EMAIL, "a.b [at] k.test") == S.replace(EMAIL, "a.b@k.test").replace("@", " [at] ")
     assert S.replace(PHONE, "0044 20 7946 0447")[4:] == S.replace(PHONE, "+44 20 7946 0447")[3:]
     assert Surrogates("other").replace(NAME, "Dario Zellovin") != S.replace(NAME, "Dario Zellovin")
