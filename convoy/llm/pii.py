@@ -81,10 +81,10 @@ _DE_PLACE = r"am|im|an der|an den|auf der|auf dem|in der|in den|zum|zur|unter de
 HOUSE = re.compile(r"(?<![\w.\-/:,+(])\d{1,4}(?![\d:/\-]|[.,]\d)")
 NUMBER_FIRST = re.compile(
     rf"{_NO},?{_GAP}(?:(?:{_L}[\w'’\-]*{_GAP}){{1,3}}?(?:{_STREET_EN})\b\.?"
-    rf"|(?:{_STREET_FR}){_GAP}(?:(?:de la|de l['’]|des|du|de|d['’]|aux|au|à la|saint|sainte){_GAP}?)*{_L}[\w'’\-]*(?:{_GAP}(?-i:[{_UP}]){_L}+)*)", re.I,
+    rf"|(?:{_STREET_FR}){_GAP}(?:(?:(?:de la|de l['’]|des|du|de|d['’]|aux|au|à la|saint|sainte){_GAP}?)+|(?=(?-i:[{_UP}]))){_L}[\w'’\-]*(?:{_GAP}(?-i:[{_UP}]){_L}+)*)", re.I,
 )
 NUMBER_LAST = re.compile(
-    rf"(?<!\w)(?:{_L}[\w\-]*(?:{_STREET_DE})\b\.?,?|(?:{_L}+er|(?-i:[{_UP}]){_L}+|[a-zß\-]+sche){_GAP}(?:{_STREET_DE})\b\.?,?|(?:{_DE_PLACE}){_GAP}(?-i:[{_UP}]){_L}+){_GAP}{_NO}(?!\w)"
+    rf"(?<!\w)(?!(?:during|spring|string|bring|offspring)\b)(?:{_L}[\w\-]*(?:{_STREET_DE})\b\.?,?|(?:{_L}+er|(?-i:[{_UP}]){_L}+|[a-zß\-]+sche){_GAP}(?:{_STREET_DE})\b\.?,?|(?:{_DE_PLACE}){_GAP}(?-i:[{_UP}]){_L}+){_GAP}{_NO}(?!\w)"
     rf"|(?<!\w)(?:{_STREET_ES}){_GAP}?(?:(?:de la|de los|de las|del|de|la|el|los|las){_GAP})*{_L}[\w'’\-]*(?:{_GAP}(?:(?:de la|del|de|y){_GAP})?(?-i:[{_UP}]){_L}+)*,?{_GAP}(?:(?:n\.?\s?[º°o]\.?|núm\.?|no\.?|nº){_GAP}?)?{_NO}(?!\w)", re.I,
 )
 #: What the words before a number must hold for a street to stand there: an ending, or a word (from the patterns above).
