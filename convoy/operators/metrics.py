@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.operators.ranking import Fold, prefix
+from convoy.operators.ranking import Fold, blocks_of, prefix
 
 
 def latency(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
@@ -25,16 +25,14 @@ def counts_by(df: DataFrame, by: Sequence[str], **conditions: Column) -> DataFra
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
 
 
-def depth_series(arrivals: DataFrame, dispatches: DataFrame, queue: str, at: str, order: Sequence[str], block: Column) -> DataFrame:
-    """The depth of each queue after each arrival (+1) and dispatch (-1), one row per event: ``queue, at, change, depth``.
+def depth_series(schedule: DataFrame, queue: str, arrived: str, dispatched: str, tie: str, block_length: int) -> DataFrame:
+    """The depth of each queue after each arrival (+1) and dispatch (-1), one row per event: ``queue, at_us, <tie>, change, depth``.
 
-    At the same instant arrivals come first. ``order`` breaks ties and may hold ``at``.
+    At the same instant arrivals come first, then ``tie`` decides.
     """
-    cols = list(dict.fromkeys([queue, at, *order]))
-    both = arrivals.select(*cols, F.lit(1).alias("change")).unionByName(dispatches.select(*cols, F.lit(-1).alias("change")))
-    both = both.withColumn("_down", -F.col("change"))
-    summed = prefix(both, [queue], [at, "_down", *[c for c in order if c != at]], block, {"depth": Fold("sum", F.col("change").cast("bigint"))})
-    return summed.drop("_down")
+    events = F.explode(F.array(F.struct(F.col(arrived).alias("at_us"), F.lit(1).alias("change")), F.struct(F.col(dispatched).alias("at_us"), F.lit(-1).alias("change"))))
+    both = schedule.select(queue, tie, events.alias("e")).select(queue, "e.at_us", tie, "e.change", (-F.col("e.change")).alias("_down"))
+    return prefix(both, [queue], ["at_us", "_down", tie], blocks_of("at_us", block_length), {"depth": Fold("sum", F.col("change").cast("bigint"))}).drop("_down")
 
 
 def changes(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], block: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoy.operators.ranking import Fold, Then, prefix
+from convoy.sources.tables import shared_dir
 
 #: Factors on reputation, the floor and how long a member may stay at it, missed beats that evict, lowest weight (fixed values).
 FAILURE, SUCCESS, HEARTBEAT = 0.5, 1.5, 1.1
@@ -53,7 +54,10 @@ def first_eviction(events: DataFrame, member: Sequence[str], at_us: str, order:
     A failure that leaves the reputation at or below the floor starts a timer if none runs; a later one ``stay_us`` or
     more after it evicts. A success, or a failure above the floor, clears the timer; heartbeats do not.
     """
-    walked = reputation(events, member, order, block).where("kind <> 'heartbeat'")
+    shared_dir(events.sparkSession)
+    narrow = list(dict.fromkeys([*member, *order, at_us, "kind", "reputation"]))
+    # Written once, as each of the two folds below reads it twice.
+    walked = reputation(events, member, order, block).where("kind <> 'heartbeat'").select(*narrow).checkpoint()
     floor = (F.col("kind") == "failure") & (F.col("reputation") <= FLOOR)
     # The timer's start is the last failure at the floor that follows something else.
     after = prefix(walked.withColumn("_low", floor), member, order, block, {"_before": Fold("last", F.col("_low"), before=True)})

@@ -85,9 +85,7 @@ def webhook_attempts(spark, sf):
 
 
 def queue_depth_series(spark, sf):
-    p = _paced(spark, sf)
-    at = lambda c: p.select("upstream", F.col(c).alias("at_us"), "seq")
-    return metrics.depth_series(at("arrived_us"), at("dispatch_us"), "upstream", "at_us", ["at_us", "seq"], by_day("at_us"))
+    return metrics.depth_series(_paced(spark, sf), "upstream", "arrived_us", "dispatch_us", "seq", DAY_US)
 
 
 def flow_rate_changes(spark, sf):

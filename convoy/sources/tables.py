@@ -33,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, in at least as many partitions as there are cores, for work that takes long per row.
+
+    Only a table of fewer files and row groups than cores is shuffled; a large one is read as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A path nobody else uses, in the shared folder."""
     return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
