@@ -12,7 +12,7 @@ from convoy.llm.leaks import find_leaks, remove_leaks
 from convoy.llm.packing import measured, pack
 from convoy.llm.redact import find_pii, redact
 from convoy.llm.tokens import token_counter
-from convoy.sources.tables import table
+from convoy.sources.tables import spread, table
 
 GROUPINGS = [["utc_day", "host"], ["utc_day"], ["host"], []]
 
@@ -51,27 +51,31 @@ def p5_frequent(spark: SparkSession, sf: str) -> DataFrame:
     return frequent_items(table(spark, sf, "jobs"), ["url", "user_id"])
 
 
+def _posts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
     caps = [(r.cap_id, r.capacity_tokens) for r in table(spark, sf, "pack_capacity").collect()]  # a fixed, tiny table
-    sizes = measured(table(spark, sf, "documents"), "doc_id", token_counter()("text"))
+    sizes = measured(_posts(spark, sf), "doc_id", token_counter()("text"))
     return pack(sizes, "doc_id", "n_tokens", caps)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return find_leaks(_posts(spark, sf), table(spark, sf, "eval_items"))
 
 
 def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items"))
+    return remove_leaks(_posts(spark, sf), table(spark, sf, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return find_pii(table(spark, sf, "documents"))
+    return find_pii(_posts(spark, sf))
 
 
 def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Posts with stand-ins; the key would come from a secret store, here it is a fixed one so that runs agree."""
-    return redact(table(spark, sf, "documents").select("doc_id", "text"), "test key")
+    return redact(_posts(spark, sf), "test key")
 
 
 _PLACED = """
