@@ -73,7 +73,8 @@ PHONE_NUMBER = re.compile(
 
 _STREET_EN = r"street|st|road|rd|lane|ln|avenue|ave|drive|dr|close|crescent|cres|terrace|row|court|ct|way|place|pl|square|sq|grove|gardens|mews|walk|hill|rise|boulevard|blvd|parade|quay|alley|yard"
 _STREET_DE = r"stra(?:ß|ss)e|str|weg|platz|gasse|allee|ring|damm|ufer|graben|steig|pfad|chaussee|hof|berg|markt|wall"
-_STREET_FR = r"rue|avenue|av\.|boulevard|bd\.?|impasse|chemin|allée|allee|place|quai|cours|ruelle|route|passage|square|sentier|faubourg"
+_STREET_FR = r"rue|avenue|av\.|boulevard|bd\.?|impasse|chemin|allée|allee|quai|ruelle|sentier|faubourg"
+_PLACE_FR = r"place|cours|route|passage|square"
 _STREET_ES = r"calle|c/|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|callejón|travesía|glorieta|carretera"
 _NO = r"\d{1,4}(?:[a-z](?!\w)|[ ][a-z](?=[ \t]*(?:[,.;:)\]\r\n]|$))| ?(?:bis|ter)(?!\w))?"
 _DE_PLACE = r"am|im|an der|an den|auf der|auf dem|in der|in den|zum|zur|unter den|hinter der|hinter dem|vor dem|beim|bei der"
@@ -81,7 +82,7 @@ _DE_PLACE = r"am|im|an der|an den|auf der|auf dem|in der|in den|zum|zur|unter de
 HOUSE = re.compile(r"(?<![\w.\-/:,+(])\d{1,4}(?![\d:/\-]|[.,]\d)")
 NUMBER_FIRST = re.compile(
     rf"{_NO},?{_GAP}(?:(?:{_L}[\w'’\-]*{_GAP}){{1,3}}?(?:{_STREET_EN})\b\.?"
-    rf"|(?:{_STREET_FR}){_GAP}(?:(?:(?:de la|de l['’]|des|du|de|d['’]|aux|au|à la|saint|sainte){_GAP}?)+|(?=(?-i:[{_UP}]))){_L}[\w'’\-]*(?:{_GAP}(?-i:[{_UP}]){_L}+)*)", re.I,
+    rf"|(?:(?:{_STREET_FR}|{_PLACE_FR}){_GAP}(?:(?:de la|de l['’]|des|du|de|d['’]|aux|au|à la|saint|sainte){_GAP}?)+|(?:{_STREET_FR}){_GAP}(?=(?-i:[{_UP}]))){_L}[\w'’\-]*(?:{_GAP}(?-i:[{_UP}]){_L}+)*)", re.I,
 )
 NUMBER_LAST = re.compile(
     rf"(?<!\w)(?!(?:during|spring|string|bring|offspring)\b)(?:{_L}[\w\-]*(?:{_STREET_DE})\b\.?,?|(?:{_L}+er|(?-i:[{_UP}]){_L}+|[a-zß\-]+sche){_GAP}(?:{_STREET_DE})\b\.?,?|(?:{_DE_PLACE}){_GAP}(?-i:[{_UP}]){_L}+){_GAP}{_NO}(?!\w)"

@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 #: Markup tags count as blanks (fixed patterns): <...> that opens like a tag, [tag], [/tag], [tag=...].
-TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]*>|<!--.*?-->|\[/?[a-zA-Z*]+(?:=[^\[\]]*)?\]", re.S)
+TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]*>|<!--.*?-->|\[/?(?:[a-zA-Z][a-zA-Z0-9]*|\*)(?:=[^\[\]]*)?\]", re.S)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});?")
 #: A run of letters or digits.
 WORD = re.compile(r"[^\W_]+")
