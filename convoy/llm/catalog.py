@@ -85,10 +85,17 @@ _PLACED = """
         where regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://') and t is not null)"""
 _EITHER = " union all ".join(f"select '{f}' as field_name, {f} as item_value from jobs where {f} <> ''" for f in ("url", "user_id"))
 
+#: Entities are read as blanks here: those in the test tables stand for no letters or digits.
+_TAG = r"<[/!?]?[a-zA-Z][^<>]*>|\[/?(?:[a-zA-Z][a-zA-Z0-9]*|\*)(?:=[^\[\]]*)?\]"
+_WORDS = rf"regexp_extract_all(lower(nfc_normalize(regexp_replace(regexp_replace({{}}, '{_TAG}', ' ', 'g'), '&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);', ' ', 'g'))), '[\p{{{{L}}}}\p{{{{N}}}}]+')"
+_GRAMS = "select distinct {id}, unnest([array_to_string(ws[i:i + 11], ' ') for i in range(1, len(ws) - 10)]) as gram from (select {id}, " + _WORDS + " as ws from {table})"
+_LEAKS = "with d as (" + _GRAMS.format("text", id="doc_id", table="documents") + "), i as (" + _GRAMS.format("item_text", id="item_id", table="eval_items") + ") select distinct doc_id, item_id from d join i using (gram)"
+
 QUERIES = {f.__name__: f for f in (p4_found, p4_distinct, p5_found, p5_frequent, p6_packed, p7_found, p7_cleaned, p8_found, p8_redacted)}
 SQL = {
     "p4_found": f"{_PLACED} select utc_day, host from placed group by all having count(distinct id) >= 20 and 2 * count(distinct nullif(user_id, '')) >= count(distinct id)",
     "p4_distinct": f"{_PLACED} select utc_day, host, count(distinct nullif(user_id, '')) as n_users, count(distinct nullif(url, '')) as n_urls from placed group by cube (utc_day, host)",
+    "p7_found": _LEAKS,
     "p5_found": f"select field_name, item_value from ({_EITHER}) group by all having count(*) * 100 >= (select count(*) from jobs)",
 }
 
