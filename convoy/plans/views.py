@@ -72,7 +72,7 @@ def beats(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "heartbeats").distinct()
     return h.where("pool_id <> '' and member_id <> '' and address <> '' and capacity_rps > 0").select(
         "pool_id", "member_id", micros("beat_at").alias("at_us"), "hb_id", "address", "capacity_rps",
-        F.greatest(F.coalesce(F.col("heartbeat_interval_seconds"), F.lit(0)), F.lit(0)).cast("bigint").__mul__(1_000_000).alias("interval_us"),
+        (F.greatest(F.col("heartbeat_interval_seconds"), F.lit(0)).cast("bigint") * 1_000_000).alias("interval_us"),
     )
 
 
