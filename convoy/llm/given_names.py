@@ -1,0 +1,58 @@
+"""Given names used across Europe and the Americas, one list for all texts.
+
+Written down from the names that public birth and census rankings of the last hundred years share (English, German, Dutch, Scandinavian,
+French, Spanish, Portuguese, Italian, Polish, Czech, Slovak, Hungarian, Romanian, South Slavic, Baltic, Greek, Turkish, East Slavic; some Arabic,
+Indian and West African ones). Lower case without accents. Names that are common words or places (will, may, rose, hope, jordan) are left out:
+those count only where a cue tells that a person stands there.
+"""
+
+#: Rare names that an earlier list held and rankings do not; kept so that no name found before is lost.
+RARE = "calloway ingrith jorun ode"
+
+GIVEN_NAMES = frozenset(f"""{RARE}
+aaron abel abigail abraham ada adam adele adrian adriana agata agathe agnes agnieszka ahmed aidan aileen aisha alain alan alba albert alberto aldo alec alejandra alejandro aleksandar
+aleksander aleksandra alena alessandra alessandro alessia alex alexander alexandra alexandre alexandru alexei alexis alfonso alfred alfredo ali alice alicia alicja alina aline alison
+allan allen alma alois alvaro alwin amadeus amalia amanda amara amelia amelie amir amit amy ana anastasia anders andre andrea andreas andrei andrej andres andrew andrzej andy
+anette angela angelika angelina angelo angus ania anica anika anita anja anke ann anna annabel anne anneke anneliese annemarie annette annie anny anselm anthony antoine antoinette
+anton antonella antonia antonin antonio antony archibald ariane arianna arjun arlene armand armando armin arnaud arne arnold arthur artur arturo arvid ashley asta astrid
+athanasios attila audrey augustin aurelia aurelie aurelien axel ayse barbara barbora barnabas barry bart bartosz bastian bastien beata beate beatrice beatriz beatrix belinda ben
+benedict benedikt benito benjamin benno benoit berenice bernadette bernard bernardo bernd bernhard bert berta bertha berthold bertrand beth betty beverly bettina bianca birgit birgitta
+birgitte birte bjarne bjorn blanca blanche blazej bo boguslaw bojan boris borja boyan brad bradley bram branko brenda brendan brian bridget brigitta brigitte britta bruce bruna
+bruno bryan camila camilla camille candice carina carl carla carlo carlos carlota carmen carol carola carolina caroline carolyn carsten catalina catarina caterina catherine
+cathrin cathy cecil cecile cecilia cedric celia celine celestine cesar chantal charlene charles charlie charlotte cheryl chiara chidi chinedu chloe chris christa christel christelle
+christian christiane christina christine christoph christophe christopher christos claire clara clarence clarissa claude claudia claudine claudio claus clemens clement clementine
+clifford clive colette colin conny connor conrad constance constantin constanze cora corinna corinne cornelia cornelis cornelius cosima craig cristian cristina cristobal curtis cynthia cyril cyrille
+dagmar dagny damian damien damir dan daniel daniela daniele daniella danielle danilo danny danuta daphne daria dario dariusz darko darren daryl dave david davide deborah debra declan delia
+delphine denis denise dennis derek desmond detlef diana diane didier diego dieter dietmar dietrich dimitri dimitrios dina dino dirk djordje dmitri dmitry dominic dominik dominika dominique
+donald donna dora doreen dorian doris dorota dorothea dorothee dorothy dorte douglas dragan duncan duncan dusan dylan ebba eberhard eckhard edda eddie edgar edith edmond edmund edoardo
+eduard eduardo edward edwin egon eileen einar ekaterina elaine eleanor elena eleni eleonora elfriede eli elias elin elisa elisabeth elise eliza elizabeth elke ella ellen ellie elliot
+elodie elsa elsbeth elvira emanuel emeka emil emile emilia emilie emilio emily emma emmanuel emmanuelle enrico enrique enzo eric erica erich erik erika erin ernesto erna erwin esteban estelle
+esther etienne eugen eugene eugenia eugenie eugenio eva evan evelin eveline evelyn evelyne ewa ewald fabian fabien fabienne fabio fabrice fabrizio farouk fatima fatma federica federico
+felicia felicitas felicity felipe felix ferdinand ferenc fernand fernanda fernando fiona flavia flavio flora florent florian florin folkert francesca francesco francine francis francisca francisco franck
+francois francoise frank franka frankie frans frantisek franz franziska fred freddy frederic frederick frederik frederike frida frieda friederike friedrich fritz gabor gabriel gabriela gabriele
+gabriella gabrielle gaetan gaetano gareth gary gaspard gavin gemma genevieve geoffrey georg george georges georgina georgios gerald geraldine gerard gerardo gerd gerda gerhard
+germaine gernot gert gertrud gertrude gheorghe giacomo gianluca gianni gilbert gilberto gilles gillian gina ginette giorgio giorgia giovanna giovanni gisela giselle gitta gitte giulia giulio giuseppe giuseppina gladys
+glenn gloria godfrey gonzalo goran gordon gottfried graham graciela graeme grazia grazyna greg gregor gregorio gregory greta gretchen grete grzegorz gudrun guido guillaume guillermo gunda gunilla gunnar gunter
+gunther gustaf gustav gustave gustavo gwen gwendolyn gyorgy haakon hakan hamid hanna hannah hannes hanno hans hansjorg harald hari harold harriet harry hartmut hassan hector hedda hedwig
+heidi heike heiko heiner heinrich heinz helen helena helene helga helge helmut hendrik hendrika henk henri henriette henrik henrike henry herbert heribert herman hermann hermine herve hilary hilda hilde hildegard
+holger horst howard hubert hugh hugo humberto ian ibrahim ida ignacio ignaz igor ilias ilona ilse imogen imre ina ines inga inge ingeborg inger ingmar ingo ingrid inka ioana ioannis irena irene irina
+irma irmgard isaac isabel isabell isabella isabelle isidora isidro ismael israel istvan ivan ivana ivana ivo ivonne iwona jaap jacek jacinta jack jackie jacob jacqueline jacques jadwiga jaime jakob jakub
+james jamie jan jana jane janet janice janina janine janos janusz jaroslav jaroslaw jasmin jasmina jason javier jean jeanette jeanne jeannette jeff jeffrey jelena jenna jennifer jenny jens jeremy jerome jeronimo jerzy jesper jessica
+jessie jill jim jimmy jindrich jiri joachim joan joana joanna joanne joao joaquin jochen joe joel joerg johan johann johanna johannes john johnny jolanta jon jonas jonathan joost joris jorg jorge jorgen jorunn jose josee josef
+josefa josefina joseph josephine joshua josiane josip jovan jovana joyce juan juana judith jules julia julian juliana juliane julie julien juliet juliette julio julius jurgen jurij jutta kaja karel karen karim karin karina karl karla karol karolina karoline karsten kasper
+katarina katarzyna kate katerina katharina katherine kathleen kathrin kathryn kathy katia katja katrin kazimierz keith kelly kemal ken kenneth kerstin kevin kilian kim kimberly kirsi kirsten kirstin klaas klara klaus knut konrad konstantin konstantinos kornelia
+kostas kristian kristiina kristin kristina kristine kristof krystyna krzysztof kurt ladislav lajos lara larissa larry lars lasse laszlo laura laure laurence laurent lauren lea leah leandro leif leila lena lennart leo leon leona leonard leonardo leonhard leonie leonora leopold
+leroy leszek leticia lev lia liam lidia liesel lieselotte lilian liliana lillian lina linda lindsay linnea lionel lisa lisbeth lise liselotte ljiljana lloyd lola lorena lorenz lorenzo loretta lorraine lothar lou louis louisa louise loic luc luca lucas lucia lucian luciano lucie lucien lucienne lucija lucille
+lucinda lucja lucy ludmila ludovic ludwig luigi luis luisa luise lukas lukasz luka luke lutz lydia lynn maarten maciej madeleine mads maelle magali magda magdalena magdolna magnus maik maike maja malcolm malgorzata malin malte manfred manolis manon manuel manuela mara marc marcel marcela marcelo marcia marcin
+marco marcos marcus marek margaret margareta margarete margarethe margarita margaux margit margot margrit marguerite maria marian mariana marianne marie mariella marietta marija marijke marilyn marina mario marion marisa marisol marit marjorie mark marketa marko markus marlene marlies marta martha martin martina martine
+marvin mary mateo mateusz matej mateja mathias mathieu mathilde matias matilda matteo matthew matthias matthieu maureen maurice mauricio maurizio mauro max maxim maxime maximilian mehmet meike melanie melinda melissa meret mette mia michael michaela michal michel michele micheline michelle
+miguel mihai mihaela mikael mike mikhail mikkel miklos mila milan milena milica milos mina mira miranda miriam mirjam mirko miroslav mitchell mohamed mohammed moira moises moritz monica monika monique morten muhammad muriel murray mustafa myriam nadia nadine nadir nadja nancy naomi natalia natalie natasa natasha
+nathalie nathan nathaniel neil nele nelly nelson nestor niamh nicholas nick nicla nico nicola nicolas nicole niels nigel nikita niklas niko nikola nikolai nikolaj nikolaos nikolas nikolaus nils nina nino noah noel noelle noemi nora norbert noreen norma norman odette odile olaf olav ole oleg oleksandr oksana olga
+oliver olivia olivier olof omar ondrej orlando oscar oskar osvaldo oswald otmar ottilie otto owen pablo palle pamela paola paolo pascal pascale patricia patrice patricio patrick patrik patrizia patryk paul paula paulina pauline paulo pavel pavla pavlos pawel pedro peggy pekka penelope pernille perry peter petr petra petri petros
+petter phil philip philipp philippa philippe phillip phoebe phyllis pia pierre piet pieter pietro pilar piotr pirjo polly predrag priya quentin rachel radek radoslav rafael raffaele rainer ralf ralph ramon ramona randall raoul raphael raquel rasmus raul raymond rebecca regina regine reiner reinhard reinhold remy renata renate
+renato rene renee reto rhys ricarda ricardo riccardo richard rick rikke rita robert roberta roberto rodney rodolfo rodrigo roger roland rolf romain romy ron ronald rosa rosalie rosalind rosanna rosemarie rosie ross roswitha roxana roy ruben rudi rudolf rudiger rune rupert russell ruth ruta ryan ryszard sabina sabine sabrina
+salma sally salvatore sam samantha samira samuel sandor sandra sandrine sanja sara sarah sascha sasha saskia scott sean sebastian sebastiano sebastien selina selma serena serge sergei sergey sergio severin shane shannon sharon shaun sheila shirley sian sibylle siegfried sigmund sigrid silke silva silvana silvia silvio
+simon simona simone siobhan slavica slobodan sofia sofie solange solveig sonia sonja sophia sophie soren spyros stacey stan stanislav stanislaw stefan stefania stefanie stefano steffen stella stephan stephane stephanie stephen steve steven stig stina stjepan stuart susan susana susann susanna susanne suzanne sven svenja svetlana sybille sylvain sylvia sylvie
+tadeusz tamara tamas tamsin tania tanja tara tatiana tatjana ted teodor teresa terence terry tessa thea theo theodor theodora theodore theresa therese thibault thierry thilo thomas thorsten tiago tibor tilo tim timo timothy tina tiziana tobias toby todd tom tomas tomasz tommaso tommy toni tony torben tore torsten tove tracy tristan trudy tuomas
+udo ugo ulf ulla ulrich ulrike umberto urs ursula urszula uschi ute uwe vaclav valentin valentina valeria valerie vanessa vasile vasilis vera verena vernon veronica veronika veronique vesna vicente vicki vicky victor victoria viggo viktor viktoria vilma vincent vincenzo viola violeta violette virginie viviane vivian vivien vladimir vladislav vojtech volker
+volodymyr waldemar wallace walter waltraud wanda wayne wendy wenzel werner wiebke wieslaw wiktor wilfried wilhelm wilhelmina willem willi william willy wilma winfried witold wladyslaw wojciech wolfgang xavier ximena yannick yannis yara yasmin yolanda yusuf yves yvette yvonne zbigniew zdenek zdenka zdzislaw zeljko zlatko zoe zofia zoltan zoran zuzana""".split())

@@ -4,22 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
+
+from convoy.llm.given_names import GIVEN_NAMES
 
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = KINDS = ("email", "phone", "id_number", "address", "name")
 
-#: Common European given names without accents, in lower case (fixed list; more can be passed to :class:`Detector`).
-GIVEN_NAMES = """
-adam agnes alba alice alina amara amelie ana anders andrea andreas angela anita anna anselm anton antonio ariane arne astrid aurelie
-barbara beatrix benoit bernard birgit bjorn bram brigitte bruno calloway camille carla carlos carmen caroline cecile charlotte chidi christian clara claire
-claudia clemens cyril daniel dario david delphine dieter diego dominik dora eduardo elena elisa elke ella elodie elsa emeka emil emma enrique
-erik esther eva fabien farouk fatima felix fernando florian francois frank frida friedrich gabriel gemma georg gerard greta gunther gustav hamid
-hanna hanno hannah hans heike heinrich helena helene henrik hugo ignacio igor ilse ines ingrid ingrith irene isabel ivan jakob jana javier jean
-joanna johan johanna jonas jorge jorun josef juan jules julia julien jurgen karin karl katarina kirsi klaus lars laura leila lena leo leopold
-lucia lucie lucja ludwig luis lukas maelle magda manuel marco margot maria marie marta martin mathilde matteo max mia michael miguel mira
-monika nadia nadir nils nina noemi nora ode oksana olga oliver omar oskar otto pablo paul paula pavel pavla pedro petra philippe pierre pilar
-quentin rafael ramon renate rosa rosalind ruben sabine samira sandra sara sebastian sian simon sofia soren stefan stephanie susanne sven sylvie
-tamsin tatiana teresa theo thomas tobias tomas ulrike ursula valentina vera victor viggo viktor wanda werner wilhelm ximena yannick yara yusuf yves zdenka zoe
-"""
+#: Given names that are words in small letters (fixed list): so written, they begin no name.
+NOT_SMALL = frozenset("carol celia dan jack jan mark perry regina reto rick sam stella ted tim viola".split())
 
 #: Small words before a family name (fixed list).
 PARTICLES = r"(?i:de la|de las|de los|van der|van den|van de|von der|von dem|von|van|vom|zu|zum|zur|den|der|ter|ten|de|del|della|delle|di|da|das|dos|do|du|des|le|la|los|las|af|av|al|el|bin|ibn)"
@@ -32,6 +24,14 @@ just la las last le les leave log los man many mein merci mit mr mrs ms my near
 regards saludos salut said says schreibt see send she short sie since so some somebody start still sure thanks that the their them then there these they this those to today
 too try un una und une up use version very via von voyez was watch we were what when where which who why will wir with would write wrote yes yet you your cheers best greetings
 bonjour cordialement dr prof herr frau señor señora monsieur madame sir lady captain team press books inc ltd gmbh group bay
+however yesterday tomorrow later finally anyway meanwhile therefore indeed perhaps maybe actually monday tuesday wednesday thursday friday saturday sunday
+heute gestern morgen montag dienstag mittwoch donnerstag freitag samstag sonntag hier demain lundi mardi mercredi jeudi vendredi samedi dimanche ayer lunes martes miércoles jueves viernes sábado domingo
+""".split())
+
+#: Last words of streets, places and firms (fixed list): after one, no family name was meant unless a title or an e-mail address says so.
+PLACES_AND_FIRMS = frozenset("""
+street road avenue boulevard square gardens crescent terrace station airport university hospital college school museum hotel island tools works labs systems software
+services solutions foundation institute company corporation corp llc plc ag kg
 """.split())
 
 _L, _UP = r"[^\W\d_]", r"A-ZÀ-ÖØ-ÞĀ-Ž"
@@ -100,6 +100,25 @@ NAME_BEFORE = re.compile(r"(?:\b(?:by|ask|attn|regards|dr\.?|prof\.?|mr\.?|mrs\.
 NAME_AFTER = re.compile(r"\s<|\s(?:said|wrote|disagrees)\b|\)\sdisagrees|\sdazu\b")
 
 
+#: Cues after which a capitalised pair is a name whatever the given name (fixed lists): titles, closings of letters, a line under which one signs, greetings.
+_NEXT = r"[ \t\u00a0]*(?:\r?\n[ \t]*(?:>[ \t]*)*){0,2}"
+TITLE = re.compile(r"(?:(?:dr|prof|mrs?|ms|sra?|mme|mlle)(?:\.[ \t]*|[ \t]+)|(?:miss|herrn?|frau|señora?|monsieur|madame|mademoiselle)[ \t]+)(?=\w)", re.I)
+CLOSING = re.compile(rf"(?:regards|sincerely|cordialement|saludos|grüßen|grüße|gruß|attn|name is)[,:.!]?{_NEXT}(?=\w)", re.I)
+SIGN_HERE = re.compile(r"(?<![\-_~*=—])(?:--|__|~~|\*\*|==|—)[\-_~*=—]*[ \t]*\r?\n[ \t>]*(?=\w)")
+GREETING = re.compile(r"(?:hi|hello|dear|hallo|lieber?|bonjour|hola|chère|cher|estimad[oa]|querid[oa]),?[ \t]+(?=\w)", re.I)
+SIGNED = re.compile(r"[ \t*_~]*(?:[,.!:;)(]|\r?\n|$)|[ \t]+(?:<|said\b|wrote\b)")
+GREETED = re.compile(r"[ \t]*(?:[,!:;–]|\r?\n|$)")
+#: Their first words, folded; verbs of quoting, which stand behind the name; and an e-mail address in <>, which does too.
+CUES = {
+    **dict.fromkeys("dr prof mr mrs ms sr sra mme mlle miss herr herrn frau senor senora monsieur madame mademoiselle".split(), (TITLE, True, None)),
+    **dict.fromkeys("regards sincerely cordialement saludos gruss grusse grussen attn name".split(), (CLOSING, False, SIGNED)),
+    **dict.fromkeys("hi hello dear hallo liebe lieber bonjour hola cher chere estimado estimada querido querida".split(), (GREETING, False, GREETED)),
+}
+QUOTING = frozenset("said wrote schrieb ecrit escribio".split())
+MAIL_OPENS = re.compile(r"(?:<|&lt;)(?=(?:mailto:)?[\w.+%\-]+(?:@|\s?[\[({]\s?at\b|\s+at\s|&#0*64;|&commat;))", re.I)
+
+
+@lru_cache(1 << 17)
 def fold(word: str) -> str:
     """Lower case without accents."""
     word = word.casefold().replace("ł", "l").replace("ø", "o").replace("đ", "d")
@@ -112,10 +131,11 @@ class Detector:
     _full = re.compile(rf"(?P<g>{_WORD}){_GAP}(?:(?P<i>[{_UP}]\.?){_GAP})?(?P<p>(?:{PARTICLES}{_GAP})*)(?P<f>{_WORD})")
     _short = re.compile(rf"(?<![\w.'’\-])[{_UP}]\.(?:[ -]?[{_UP}]\.)?{_GAP}?(?P<p>(?:{PARTICLES}{_GAP})*)(?P<f>{_WORD})")
     _before = re.compile(rf"(?<![\w'’\-])(?P<p>(?:{PARTICLES}{_GAP})*)(?P<f>{_WORD}),{_GAP}$")
+    _back = re.compile(rf"(?<![\w.'’\-@])(?P<g>{_WORD}){_GAP}(?:(?:[{_UP}]\.?){_GAP})?(?:{PARTICLES}{_GAP})*(?P<f>{_WORD})$")
     _initial = re.compile(rf"{_GAP}[{_UP}]\.")
 
     def __init__(self, given_names=()):
-        self.given = set(GIVEN_NAMES.split()) | {fold(n) for n in given_names}
+        self.given = GIVEN_NAMES | {fold(n) for n in given_names}
         self._word = re.compile(rf"(?<![\w'’]){_L}+")
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -170,23 +190,78 @@ class Detector:
                         yield m.span()
 
     def names(self, text: str):
+        cued, behind = [], []
         for w in self._word.finditer(text):
-            if fold(w[0]) in self.given:
+            word = fold(w[0])
+            if word in self.given:
                 yield from self._around(text, w)
+            elif word in CUES:
+                cue, sure, end = CUES[word]
+                if c := cue.match(text, w.start()):
+                    cued.append((c.end(), sure, end))
+            elif word in QUOTING:
+                behind.append((w.start() - 2 * text.endswith(" a ", 0, w.start()), False))
+        yield from self._by_cue(text, cued, behind)
         for m in self._short.finditer(text):
             if self._family(m["f"], False):
                 yield m.start(), m.end()
 
-    def _family(self, word: str, lower: bool) -> bool:
+    def _by_cue(self, text: str, cued: list, behind: list):
+        """Capitalised pairs that a cue before or behind makes names, whatever their given name, and their other mentions in the text."""
+        cued += [(c.end(), False, SIGNED) for c in SIGN_HERE.finditer(text)]
+        if "@" in text or " at" in text or "&" in text or "[at" in text or "(at" in text:
+            behind += [(c.start(), True) for c in MAIL_OPENS.finditer(text)]
+        found = []
+        for at, sure, end in cued:
+            while t := TITLE.match(text, at):
+                at, sure = t.end(), True
+            m = self._full.match(text, at)
+            if m and self._pair(m["g"], m["f"], sure):
+                b = self._longest(text, m)
+                if end is None or end.match(text, b):
+                    found.append((at, b))
+        for at, sure in behind:
+            before = text[max(0, at - 200) : at]
+            stop = at - len(before) + len(before.rstrip(" \t\u00a0"))
+            if stop < at:
+                # The last words before the cue, nearest first: the shortest pair that reaches it.
+                for w in reversed(list(self._word.finditer(text, max(0, at - 200), stop))[-8:]):
+                    if (m := self._back.match(text, w.start(), stop)) and self._pair(m["g"], m["f"], sure):
+                        found.append(m.span())
+                        break
+        yield from found
+        for value in {text[a:b] for a, b in found}:
+            at = text.find(value)
+            while at >= 0:
+                b = at + len(value)
+                if not (text[at - 1 : at].isalnum() or text[at - 1 : at] in ("'", "’", "-", "@", ".", "_") and at) and not (text[b : b + 1].isalnum() or text[b : b + 1] in ("_", "@")):
+                    yield at, b
+                at = text.find(value, b)
+
+    def _pair(self, given: str, family: str, sure: bool) -> bool:
+        """Whether a given name that is not listed may stand there: both capitalised, in one another's way of writing, and no words beside names."""
+        if not given[0].isupper() or len(given) < 2 or given.lower() in NO_NAMES or not self._family(family, False, 2 if sure else 3) or not (sure or given[1:2].islower()):
+            return False
+        return sure or not {given.lower(), family.lower()} & PLACES_AND_FIRMS
+
+    def _longest(self, text: str, m: re.Match) -> int:
+        """The end of the name in ``m``: if its family name is a given name too, a family name may follow."""
+        while m["f"][0].isupper() and fold(m["f"].split("-")[0]) in self.given and (n := self._full.match(text, m.start("f"))) and self._family(n["f"], False) and n["f"].lower() not in PLACES_AND_FIRMS:
+            m = n
+        return m.end()
+
+    def _family(self, word: str, lower: bool, least: int = 3) -> bool:
         parts = re.split(r"[\-]", word)
-        return len(word) > 2 and (lower or all(p[:1].isupper() for p in parts)) and word.lower() not in NO_NAMES and parts[0].lower() not in NO_NAMES
+        return len(word) >= least and (lower or all(p[:1].isupper() for p in parts)) and word.lower() not in NO_NAMES and parts[0].lower() not in NO_NAMES
 
     def _around(self, text: str, w: re.Match):
         """Names that have the given name ``w``: before a family name, or after one and a comma."""
         lower = w[0][0].islower()
         m = self._full.match(text, w.start())
-        if m and fold(m["g"].split("-")[0]) in self.given and self._family(m["f"], lower) and (not lower or self._cued(text, *m.span())):
-            yield m.span()
+        if lower and fold(w[0]) in NOT_SMALL:
+            return
+        if m and fold(m["g"].split("-")[0]) in self.given and self._family(m["f"], lower) and (m["f"].lower() not in PLACES_AND_FIRMS if not lower else self._cued(text, *m.span())):
+            yield m.start(), self._longest(text, m)
         elif not lower and (b := self._before.search(text, max(0, w.start() - 80), w.start())) and self._family(b["f"], False) and fold(b["f"]) not in self.given:
             t = self._initial.match(text, w.end())
             yield b.start(), t.end() if t else w.end()

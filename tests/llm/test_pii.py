@@ -50,6 +50,23 @@ def test_long_texts_and_more_names():
     assert {(NAME, "Brunhilde Mertz")} == {(k, text[a:b]) for a, b, k in Detector(["Brunhilde"]).spans(text)}
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Regards, John Smith", {"John Smith"}),
+        ("see Robert Kerr, Maria Lopez and Wolfgang Maus; Hans Peter Novak left", {"Robert Kerr", "Maria Lopez", "Wolfgang Maus", "Hans Peter Novak"}),
+        ("Mr. Quillon Marsk, Frau Prof. Dr. Thora Ek and Mr. TOLL VARN came", {"Quillon Marsk", "Thora Ek", "TOLL VARN"}),
+        ("Dear Thandiwe Mokoe,\nthanks\n\nKind regards,\r\n\r\nOluwo Adeyem\r\nclerk", {"Thandiwe Mokoe", "Oluwo Adeyem"}),
+        ("> On day 5, Tolvan Kreel <t.k@post.example> wrote:\nok\n-- \nBaro Nguy\nmail: x", {"Tolvan Kreel", "Baro Nguy"}),
+        ("Tobin Vask a écrit : as Mr. Quill Nov wrote; later Quill Nov left, not Quill Novak", {"Tobin Vask", "Quill Nov"}),
+        ("Marrow Bay wrote; Victoria Street was wet; from New York; thanks to Copperfold Tools; Best regards,\nMarketing Team", set()),
+        ("Hello World! by Quarry Lamps, from mark down to jack up; However, John left; Unser Knoten <b>voll</b>", set()),
+    ],
+)
+def test_names_with_unlisted_given_names(text, want):
+    assert {v for k, v in found(text) if k == NAME} == want
+
+
 S = Surrogates("k")
 
 
