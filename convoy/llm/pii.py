@@ -77,20 +77,27 @@ _STREET_FR = r"rue|avenue|av\.|boulevard|bd\.?|impasse|chemin|allée|allee|quai|
 _PLACE_FR = r"place|cours|route|passage|square"
 _STREET_ES = r"calle|c/|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|callejón|travesía|glorieta|carretera"
 _NO = r"\d{1,4}(?:[a-z](?!\w)|[ ][a-z](?=[ \t]*(?:[,.;:)\]\r\n]|$))| ?(?:bis|ter)(?!\w))?"
+_NOS = rf"{_NO}(?:[\-–]\d{{1,4}}(?:[a-z](?!\w))?(?![\w\-/]))?"
+#: Words after "am" and the like that tell a time (fixed list).
+_NO_PLACE = r"(?:(?:mon|diens|donners|frei|sams|sonn)tag|mittwoch|sonnabend|januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|jahre?|tag|morgen|abend)\b"
 _DE_PLACE = r"am|im|an der|an den|auf der|auf dem|in der|in den|zum|zur|unter den|hinter der|hinter dem|vor dem|beim|bei der"
 #: A house number, from which addresses are looked for in both directions.
-HOUSE = re.compile(r"(?<![\w.\-/:,+(])\d{1,4}(?![\d:/\-]|[.,]\d)")
+HOUSE = re.compile(r"\d+")
+#: A time or a decimal number goes on after it (a postcode after a comma is none).
+_NO_END = r"(?!\w|\.\d|,\d\d?(?!\d)|:\d\d(?!\d))"
 NUMBER_FIRST = re.compile(
     rf"{_NO},?{_GAP}(?:(?:{_L}[\w'’\-]*{_GAP}){{1,3}}?(?:{_STREET_EN})\b\.?"
     rf"|(?:(?:{_STREET_FR}|{_PLACE_FR}){_GAP}(?:(?:de la|de l['’]|des|du|de|d['’]|aux|au|à la|saint|sainte){_GAP}?)+|(?:{_STREET_FR}){_GAP}(?=(?-i:[{_UP}]))){_L}[\w'’\-]*(?:{_GAP}(?-i:[{_UP}]){_L}+)*)", re.I,
 )
 NUMBER_LAST = re.compile(
-    rf"(?<!\w)(?!(?:during|spring|string|bring|offspring)\b)(?:{_L}[\w\-]*(?:{_STREET_DE})\b\.?,?|(?:{_L}+er|(?-i:[{_UP}]){_L}+|[a-zß\-]+sche){_GAP}(?:{_STREET_DE})\b\.?,?|(?:{_DE_PLACE}){_GAP}(?-i:[{_UP}]){_L}+){_GAP}{_NO}(?!\w)"
-    rf"|(?<!\w)(?:{_STREET_ES}){_GAP}?(?:(?:de la|de los|de las|del|de|la|el|los|las){_GAP})*{_L}[\w'’\-]*(?:{_GAP}(?:(?:de la|del|de|y){_GAP})?(?-i:[{_UP}]){_L}+)*,?{_GAP}(?:(?:n\.?\s?[º°o]\.?|núm\.?|no\.?|nº){_GAP}?)?{_NO}(?!\w)", re.I,
+    rf"(?<!\w)(?<!{_L}-)(?!(?:during|spring|string|bring|offspring)\b)(?:{_L}[\w\-]*(?:{_STREET_DE})\b\.?,?|(?:{_L}+er|(?-i:[{_UP}]){_L}+|{_L}[a-zß\-]*sche){_GAP}(?:{_STREET_DE})\b\.?,?|(?:{_DE_PLACE}){_GAP}(?!{_NO_PLACE})(?-i:[{_UP}]){_L}+){_GAP}{_NOS}{_NO_END}"
+    rf"|(?<!\w)(?:{_STREET_ES}){_GAP}?(?:(?:de la|de los|de las|del|de|la|el|los|las){_GAP})*{_L}[\w'’\-]*(?:{_GAP}(?:(?:de la|del|de|y){_GAP})?(?-i:[{_UP}]){_L}+)*,?{_GAP}(?:(?:n\.?\s?[º°o]\.?|núm\.?|no\.?|nº)(?:{_GAP})?)?{_NOS}{_NO_END}", re.I,
 )
 #: What the words before a number must hold for a street to stand there: an ending, or a word (from the patterns above).
 _ENDS = tuple("straße strasse str weg platz gasse allee ring damm ufer graben steig pfad chaussee hof berg markt wall".split())
-_STARTS = frozenset("am im an auf in zum zur unter hinter vor beim bei calle avenida avda avda. plaza paseo camino carrera ronda callejón travesía glorieta carretera".split())
+_STARTS = frozenset("am im an auf in zum zur unter hinter vor beim bei".split())
+_SPANISH = tuple("calle c/ avenida avda plaza paseo camino carrera ronda travesía glorieta carretera".split())
+_NUMERO = re.compile(r"(?:\bn\.?\s?[º°o]|\bnúm)\.?$", re.I)
 
 URL_AT = re.compile(r"(?:https?://|www\.)[^\s<>\[\]\"']+", re.I)
 
@@ -178,16 +185,32 @@ class Detector:
 
     @staticmethod
     def addresses(text: str):
+        floor = 0  # where a street before the number may start: in its line, after the last number that stands by itself
         for n in HOUSE.finditer(text):
             a = n.start()
-            if m := NUMBER_FIRST.match(text, a):
+            if n.end() - a > 4:
+                continue
+            last = text[a - 1 : a]
+            if blank := last.isspace():
+                first = True
+            elif last.isalnum() or last and last in "_.-/°":
+                first, blank = False, last in "º°oO.mM" and _NUMERO.search(text, max(0, a - 6), a)
+            else:
+                # 11:47 and 1,200 are none.
+                first, blank = not (last and last in ":," and text[a - 2 : a - 1].isdigit()), last == ";" and text.endswith("&nbsp;", 0, a)
+            if first and (m := NUMBER_FIRST.match(text, a)):
                 yield m.span()
+            if not blank:
                 continue
-            before = text[max(0, a - 60) : a].replace("&nbsp;", " ").lower().split()[-8:]
-            if before and (before[-1].rstrip(".,").endswith(_ENDS) or not _STARTS.isdisjoint(before) or any(w.startswith("c/") for w in before)):
-                for m in NUMBER_LAST.finditer(text, max(0, a - 60), a + 16):
+            floor = max(floor, text.rfind("\n", floor, a) + 1)
+            before = text[floor:a].replace("&nbsp;", " ").lower()
+            words = before.rsplit(None, 4)[-4:]
+            if words and (words[-1].rstrip(".,").endswith(_ENDS) or any(w.lstrip("([{<>\"'„“»«*-/,.;:") in _STARTS for w in words) or any(w in before for w in _SPANISH)):
+                for m in NUMBER_LAST.finditer(text, floor, a + 24):
                     if m.start() < a < m.end():
                         yield m.span()
+            if last.isspace():
+                floor = a
 
     def names(self, text: str):
         cued, behind = [], []

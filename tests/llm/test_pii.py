@@ -50,6 +50,25 @@ def test_long_texts_and_more_names():
     assert {(NAME, "Brunhilde Mertz")} == {(k, text[a:b]) for a, b, k in Detector(["Brunhilde"]).spans(text)}
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("(12 Elm Street)", {"12 Elm Street"}),
+        ("Address:12 Elm Street", {"12 Elm Street"}),
+        ("Lindenweg 12-14", {"Lindenweg 12-14"}),
+        ("Alte Gasse 12/3", {"Alte Gasse 12"}),
+        ("Plaza del Aljibe n.º73", {"Plaza del Aljibe n.º73"}),
+        ("(Am Rehgraben 191a)", {"Am Rehgraben 191a"}),
+        ("3 Äpfel, Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtenweg 5: da", {"Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtenweg 5"}),
+        ("En Calle de la Virgen del Camino Real de Santa Ana Mayor y San Sebastian del Norte 265.", {"Calle de la Virgen del Camino Real de Santa Ana Mayor y San Sebastian del Norte 265"}),
+        ("am Bahnhof 12:30, Am Montag 12-14 Uhr, firewall 2.0, at 11:47 the spikes went a way", set()),
+        ("in " + "-" * 50_000 + " 12" + " a-b" * 12_000 + " 5" + " im am 1" * 6_000, set()),
+    ],
+)
+def test_addresses_beside_marks_and_in_long_lines(text, want):
+    assert {v for k, v in found(text) if k == ADDRESS} == want
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
