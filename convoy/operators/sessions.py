@@ -36,18 +36,20 @@ def sessionize(events: DataFrame, user: str = "user_id", at_ms: str = "at_ms", e
     )
 
 
-def sessionize_stream(events: DataFrame, user: str, at: str, gap_ms: int = GAP_MS, late: str = "2 days") -> DataFrame:
+def sessionize_stream(events: DataFrame, user: str, at: str, gap_ms: int = GAP_MS, late: str = "10 days", event_id: str | None = None) -> DataFrame:
     """The same over a stream with a timestamp column ``at``: ``user, start_ms, end_ms, duration_ms, n_events``.
 
     Interval states are kept per user until the watermark, ``late`` behind the newest event, has passed their end; an
-    event that late or less still joins, or joins together, the sessions it touches. Later ones are left out.
-    Interval states of a batch merge before the shuffle.
+    event that late or less still joins, or joins together, the sessions it touches. Later ones are left out. With
+    ``event_id``, repeated copies of an event (same user, time and id) count once, and ids are kept as long; rows without
+    an id count each. Interval states of a batch merge before the shuffle.
     """
     events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    rows = events.where(F.nullif(F.col(user), F.lit("")).isNotNull()).withWatermark(at, late)
+    if event_id:
+        rows = rows.where(F.col(event_id).isNotNull()).dropDuplicates([user, at, event_id]).unionByName(rows.where(F.col(event_id).isNull()))
     return (
-        events.where(F.nullif(F.col(user), F.lit("")).isNotNull())
-        .withWatermark(at, late)
-        .groupBy(user, F.session_window(at, f"{gap_ms} milliseconds 500 microseconds"))
+        rows.groupBy(user, F.session_window(at, f"{gap_ms} milliseconds 500 microseconds"))
         .agg(F.min(F.unix_millis(at)).alias("start_ms"), F.max(F.unix_millis(at)).alias("end_ms"), F.count(F.lit(1)).alias("n_events"))
         .select(user, "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "n_events")
     )

@@ -18,9 +18,9 @@ def _source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{table_path(sf, name)[:-1]}[t]")
 
 
-def _finish(stream: DataFrame, mode: str = "append") -> DataFrame:
+def _finish(stream: DataFrame, mode: str = "append", out: str | None = None) -> DataFrame:
     """Run to the end of the input into a table of the shared folder, and read it."""
-    spark, out = stream.sparkSession, scratch(stream.sparkSession, "stream")
+    spark, out = stream.sparkSession, out or scratch(stream.sparkSession, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(f"{out}/rows")
@@ -36,10 +36,30 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return _finish(streaming.first_only(e.select("idem_hash", "at"), "idem_hash", "at", "40 days")).select("idem_hash")
 
 
-def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions closed by the watermark; the last ones stay open, as more could come."""
-    j = _source(spark, sf, "jobs").withColumn("at", F.timestamp_millis(epoch_ms("created_at")))
-    return _finish(sessionize_stream(j.select("user_id", "at"), "user_id", "at"))
+#: An instant after all events, by which a finite input is known to be at its end.
+END_MS = 32_503_680_000_000
+
+
+def stream_sessions(spark: SparkSession, sf: str, files_per_batch: int | None = None) -> DataFrame:
+    """All sessions of the jobs. The watermark closes them 10 days behind the newest job (rows are exported up to 9 days late).
+
+    At the end of the input the query goes on from its checkpoint with one row of a far later time, which closes those
+    still open; its own session stays open and does not come out.
+    """
+    out = scratch(spark, "stream")
+    name = "jobs"
+    schema = table(spark, sf, name).schema
+    last = spark.createDataFrame([("end", "end", END_MS)], "id string, user_id string, created_at bigint").coalesce(1)
+
+    def sessions(path: str) -> DataFrame:
+        reader = spark.readStream.schema(schema)
+        j = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path).withColumn("at", F.timestamp_millis(epoch_ms("created_at")))
+        return sessionize_stream(j.select("user_id", "at", "id"), "user_id", "at", event_id="id")
+
+    _finish(sessions(f"{table_path(sf, name)[:-1]}[t]"), out=out)
+    last.write.parquet(f"{out}/end")
+    # A pattern again: a plain folder would be taken for the base of the files read before.
+    return _finish(sessions(f"{out}/en[d]"), out=out)
 
 
 def stream_reputation(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,8 @@ from datetime import UTC, datetime, timedelta
 import models
 import pytest
 
+from convoy.plans.problems import p1_sessions
+from convoy.plans.streams import stream_sessions
 from convoy.streaming.jobs import first_only, lost_members, reputation
 
 BASE = datetime(2024, 1, 1)
@@ -52,3 +54,19 @@ def test_first_only(spark, tmp_path):
     at = lambda k, m: (k, BASE + timedelta(minutes=m))
     out = run(spark, tmp_path, [[at("k", 0), at("k", 1)], [at("k", 5), at("l", 5)]], "k string, at timestamp", lambda s: first_only(s, "k", "at", "1 hour"))
     assert sorted(x.k for x in out) == ["k", "l"]
+
+
+def test_stream_sessions_gives_all_sessions(spark, tmp_path):
+    """In one batch and in several: late rows, repeated exports, rows without an id, and sessions open at the end."""
+    r = random.Random(4)
+    day, start = 86_400_000, 1_704_067_200_000
+    jobs = [(r.choice([f"j{i}", f"j{i}", None]), r.choice(["a", "b", "c", "", None]), start + r.randint(0, 12 * day) // 200_000 * 200_000, r.randint(0, 8 * day)) for i in range(600)]
+    jobs += [(f"k{i}", "d", start + 12 * day + 250_000 * i, 0) for i in range(20)]
+    jobs += [(i, u, t, wait + day // 2) for i, u, t, wait in r.sample(jobs, 100) if i and wait < 8 * day]
+    jobs.sort(key=lambda j: j[2] + j[3])  # as they arrive
+    for k in range(3):
+        part = [j[:3] for j in jobs[k * len(jobs) // 3 : (k + 1) * len(jobs) // 3]]
+        spark.createDataFrame(part, "id string, user_id string, created_at bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "jobs.parquet"))
+    want = sorted(map(tuple, p1_sessions(spark, str(tmp_path)).collect()))
+    assert sorted(map(tuple, stream_sessions(spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, stream_sessions(spark, str(tmp_path), files_per_batch=1).collect())) == want
