@@ -51,13 +51,16 @@ NOT_OF_A_PERSON = re.compile(r"(?:\b(?:ticket|job|order|part|trace|ref|reference
 STOCK_AFTER = re.compile(r"\s*(?:is|are) (?:out of|in) stock|\s+rows\b", re.I)
 
 ID_WORD = re.compile(
-    r"(?<!\w)(?:tax[ -]?(?:id|number|no\b\.?)|tin|ssn|social security(?: (?:number|no\b\.?))?|national (?:id|identity|insurance)(?: (?:card|number|no\b\.?))*|ni (?:number|no\b\.?)|nino|id[ -]?card(?: (?:number|no\b\.?))?|identity card(?: (?:number|no\b\.?))?|passport(?: (?:number|no\b\.?))?"
+    r"(?<!\w)(?:tax[ -]?(?:id|number|no\b\.?)|tin|ssn|social security(?: (?:number|no\b\.?))?|national (?:id|identity|insurance)(?: (?:card|number|no\b\.?))*|ni (?:number|no\b\.?)|nino|id[ -]?card(?: (?:number|no\b\.?))?|identity card(?: (?:number|no\b\.?))?|passports?(?: (?:numbers?|no\b\.?))?"
     r"|steuer-?id(?:entifikationsnummer)?|steuernummer|personalausweis(?:nummer)?|ausweis(?:nummer|-nr)?|reisepass(?:nummer)?|pass(?:nummer|-nr)|sozialversicherungsnummer|rentenversicherungsnummer"
     r"|passeport|num[ée]ro (?:fiscal|de s[ée]curit[ée] sociale|de passeport)|s[ée]curit[ée] sociale|carte d['’]identit[ée]|nir|dni|nie|nif|n[úu]mero de la seguridad social|seguridad social|pasaporte|(?:mi )?documento(?: nacional)?(?: de identidad)?|c[ée]dula|identificaci[óo]n|pi[èe]ce d['’]identit[ée]|num[ée]ro d['’]identit[ée]|n° de s[ée]curit[ée] sociale|ausweis)(?!\w)", re.I
 )
 ID_VALUE = re.compile(
     r"(?<![\w.])(?:[a-z]{2}(?: \d\d){3} [a-z](?!\w)|(?:(?-i:[A-Z]{1,3})[ \-]?|[a-z]{1,3})?\d(?:[ \-.]?\d){4,14}(?:[a-z](?!\w)|[ \-](?-i:[A-Z])(?!\w)|(?!\w))|(?-i:[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z])(?!\w)|(?-i:(?=[A-Z]*\d[A-Z]*\d)[A-Z0-9]{7,12})(?!\w))", re.I
 )
+#: What stands between a value and a keyword after it, and between the values of a list (fixed lists).
+ID_BETWEEN = re.compile(r",?\s+(?:is|was|are|ist|war|est|es|as|als)\s+(?:(?:my|your|his|her|their|our|the|a|an|meine?|seine?|ihre?|die|der|das|mon|ma|son|sa|le|la|mi|su|el|new|old)\s+){0,2}|\s*[=(]\s*(?:(?:my|the|meine?|mon|ma|mi)\s+)?", re.I)
+ID_LIST = re.compile(r"(?:\s*[,;/&]\s*|\s+)(?:(and|or|und|oder|et|ou|y|o)\s+)?", re.I)
 
 PHONE_NUMBER = re.compile(
     r"(?<![\w.\-+/=:#])(?:"
@@ -132,6 +135,10 @@ def fold(word: str) -> str:
     return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
+def _shape(value: str) -> str:
+    return re.sub(r"\d", "0", re.sub(r"[^\W\d_]", "a", value))
+
+
 class Detector:
     """Finds spans of personal information by rules; ``given_names`` adds to the list of given names."""
 
@@ -179,9 +186,17 @@ class Detector:
     @staticmethod
     def id_numbers(text: str):
         for w in ID_WORD.finditer(text):
-            m = ID_VALUE.search(text, w.end(), w.end() + 60)
-            if m and not re.search(r"[.!?]\s|\n\s*\n|\d", text[w.end() : m.start()]):
-                yield m.span()
+            # A value starts within 60 characters of its keyword; where it ends is not bounded (none is longer than 48).
+            for m in ID_VALUE.finditer(text, max(0, w.start() - 108), w.start()):
+                if ID_BETWEEN.fullmatch(text, m.end(), w.start()):
+                    yield m.span()
+            m = ID_VALUE.search(text, w.end(), w.end() + 108)
+            if not m or m.start() > w.end() + 60 or re.search(r"[.!?]\s|\n\s*\n|\d", text[w.end() : m.start()]):
+                continue
+            yield m.span()
+            while (go := ID_LIST.match(text, m.end())) and (n := ID_VALUE.match(text, go.end())) and (_shape(n[0]) == _shape(m[0]) or go[1] and not PHONE_NUMBER.match(text, n.start())):
+                yield n.span()
+                m = n
 
     @staticmethod
     def addresses(text: str):

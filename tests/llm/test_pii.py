@@ -86,6 +86,20 @@ def test_names_with_unlisted_given_names(text, want):
     assert {v for k, v in found(text) if k == NAME} == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("passport " + "is kept " * 6 + "at X 991 114 224 now", {"X 991 114 224"}),
+        ("078-05-1120 is my SSN", {"078-05-1120"}),
+        ("passport numbers; passport X1234567 and Y7654321, Z1234568", {"X1234567", "Y7654321", "Z1234568"}),
+        ("passport no. X1234567, 07700 900559; ticket 4427-27-3223, my SSN is lost", {"X1234567"}),
+        ("passports X1234567 and Y7654321", {"X1234567", "Y7654321"}),
+    ],
+)
+def test_id_numbers_on_both_sides_and_in_lists(text, want):
+    assert {v for k, v in found(text) if k == ID_NUMBER} == want
+
+
 S = Surrogates("k")
 
 
