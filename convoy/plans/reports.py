@@ -44,12 +44,22 @@ def admission_snapshot(spark, sf):
     return admission.limits_snapshot(spark, 21, MAX_MB, 4096, MAX_DB, MAX_BODY, 5)
 
 
-def nonce_replay(spark, sf):
+def _replays(spark, sf, memory_s):
     """Challenges are taken as received in the middle of their quarter of an hour."""
-    c = protocol.replays(table(spark, sf, "challenges"), "nonce", F.col("ts_seconds"), F.expr("ts_seconds - ts_seconds % 900 + 450"), "challenge_id")
+    c = protocol.replays(table(spark, sf, "challenges"), "nonce", F.col("ts_seconds"), F.expr("ts_seconds - ts_seconds % 900 + 450"), "challenge_id", memory_s)
     return c.select("challenge_id", protocol.challenge_message("challenge_id", "nonce").alias("message"), "verdict")
 
 
+def nonce_replay(spark, sf):
+    """With the rule's memory of five minutes."""
+    return _replays(spark, sf, protocol.WINDOW_S)
+
+
+def nonce_replay_days(spark, sf):
+    """With a memory of two days, as nonces of the test table come again after hours and days."""
+    return _replays(spark, sf, 2 * 86_400)
+
+
 def delivery_digest(spark, sf):
     return table(spark, sf, "target_server").select("rec_id", protocol.delivery_digest("x_l8_delivery_id", "x_l8_timestamp", "body").alias("message"))
 
@@ -223,10 +233,19 @@ _RESP = with_("requests") + f", resp as (select arrived_us // {HOUR_US} as secon
 _ADM = with_("requests") + ", f as (select *, min((arrived_us, seq)) filter (upstream <> 'error') over (partition by idem_hash) as first from requests), adm as (select *, case when (arrived_us, seq) = first then 'accepted' when (arrived_us, seq) > first then 'duplicate' else 'rejected' end as outcome, first[2] as accepted_seq from f) "
 _SESSION = "with t as (select cast(user_id as varchar) as user_id, epoch_us(ts) // 1000 as t from events), m as (select *, case when t - lag(t) over (partition by user_id order by t) <= 21600000 then 0 else 1 end as fresh from t), n as (select *, sum(fresh) over (partition by user_id order by t rows unbounded preceding) as s from m) select user_id, min(t) as start_ms, max(t) as end_ms, max(t) - min(t) as duration_ms, count(*) as n_events from n group by user_id, s"
 
+_REPLAYS = """with recursive c as (select *, ts_seconds - ts_seconds % 900 + 450 as r, coalesce(abs(ts_seconds - ts_seconds % 900 + 450 - ts_seconds) <= 300, false) as fresh from challenges),
+    f as (select nonce, r, min(challenge_id) as t from c where fresh and nonce is not null group by all),
+    lives as (select nonce, min(r) as s from f group by nonce union all
+        select l.nonce, min(f.r) from lives l join f on f.nonce = l.nonce and f.r > l.s + {memory} group by l.nonce, l.s),
+    n as (select c.*, (select max(s) from lives l where l.nonce = c.nonce and l.s <= c.r) as s from c)
+    select challenge_id, coalesce(challenge_id, '') || ':' || coalesce(n.nonce, '') as message,
+        case when not fresh then 'stale' when n.nonce is not null and (n.r, challenge_id) > (n.s, f.t) then 'replayed' else 'ok' end as verdict
+    from n left join f on f.nonce = n.nonce and f.r = n.s"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        admission_decision, admission_outcome, retry_after_streaks, oversized_bodies, admission_snapshot, nonce_replay, delivery_digest, metrics_by_upstream, latency_by_upstream, latency_summary,
+        admission_decision, admission_outcome, retry_after_streaks, oversized_bodies, admission_snapshot, nonce_replay, nonce_replay_days, delivery_digest, metrics_by_upstream, latency_by_upstream, latency_summary,
         failures_by_reason, webhook_attempts, queue_depth_series, flow_rate_changes, scenario_workers, scenario_overload, observations, observations_pivot, observations_csv, scenario_summary,
         round_robin_assign, burst_phases, status_histogram, first_rejection, recovery_census, tenant_wait, ramp_ceiling, drain_time, rate_asof, arrivals_tumbling, arrivals_sliding, arrivals_session,
         traffic_rollup, approx_tenants,
@@ -238,7 +257,8 @@ SQL = {
     "retry_after_streaks": _ADM + ", c as (select *, sum((outcome = 'accepted')::int) over (order by arrived_us, seq rows unbounded preceding) as island from adm where outcome <> 'duplicate'), s as (select *, row_number() over (partition by island order by arrived_us, seq) as streak from c where outcome = 'rejected') select seq, streak, cast(case when streak <= 1 then 5 else least(60, 5 * pow(2, streak - 1)) end as int) as retry_after_s from s",
     "oversized_bodies": with_("latest") + f"select id, cast(strlen(body) as bigint) as body_bytes, cast({MAX_BODY} as bigint) as limit_bytes from latest where strlen(body) > {MAX_BODY}",
     "admission_snapshot": f"select true as enabled, 21 as memory_mb, {MAX_MB} as max_memory_mb, 4096 as db_bytes, {MAX_DB} as max_db_bytes, {MAX_BODY} as max_body_bytes, 5 as retry_after_s",
-    "nonce_replay": "with c as (select *, ts_seconds - ts_seconds % 900 + 450 as r, coalesce(abs(ts_seconds - ts_seconds % 900 + 450 - ts_seconds) <= 300, false) as fresh from challenges), n as (select *, min((r, challenge_id)) filter (fresh) over (partition by nonce) as first from c) select challenge_id, coalesce(challenge_id, '') || ':' || coalesce(nonce, '') as message, case when not fresh then 'stale' when nonce is not null and (r, challenge_id) > first then 'replayed' else 'ok' end as verdict from n",
+    "nonce_replay": _REPLAYS.format(memory=300),
+    "nonce_replay_days": _REPLAYS.format(memory=172_800),
     "delivery_digest": "select rec_id, x_l8_delivery_id || '.' || x_l8_timestamp || '.' || to_base64(unhex(sha256(coalesce(body, '')))) as message from target_server",
     "metrics_by_upstream": with_("latest") + f"select user_id, {UPSTREAM} as upstream, count(*) as n, count(*) filter (status in ('in_flight', 'completed', 'failed')) as dispatched, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'failed') as failed from latest group by all",
     "latency_by_upstream": f"select event_type as upstream, {_LAT} from events group by all",

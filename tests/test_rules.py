@@ -135,6 +135,38 @@ def test_backoff(spark):
     assert values(attempts.schedule(df, "t"), "backoff_s", "attempt_us") == [(0, 0), (1, 1_000_000), (2, 3_000_000), (4, 7_000_000), (8, 15_000_000)]
 
 
+def remembered(uses, memory):
+    """Verdicts of challenges in order of receipt by a table of nonces and when each is forgotten."""
+    known, out = {}, {}
+    for name, nonce, stamp, at in sorted(uses, key=lambda u: (u[3], u[0])):
+        if stamp is None or abs(at - stamp) > 300:
+            out[name] = "stale"
+        elif nonce is not None and known.get(nonce, -1) >= at:
+            out[name] = "replayed"
+        else:
+            out[name] = "ok"
+            known[nonce] = at + memory
+    return out
+
+
+def test_nonces_are_forgotten(spark):
+    minutes = [0, 4, 6, 9, 12, 12, 30]
+    uses = [(f"u{i}", "n", 60 * m, 60 * m) for i, m in enumerate(minutes)]
+    df = spark.createDataFrame(uses, "id string, nonce string, ts bigint, r bigint")
+    out = dict(values(protocol.replays(df, "nonce", F.col("ts"), F.col("r"), "id"), "id", "verdict"))
+    assert out == remembered(uses, 300) == dict(zip([f"u{i}" for i in range(7)], ["ok", "replayed", "ok", "replayed", "ok", "replayed", "ok"], strict=True))
+
+
+def test_replays_like_a_table_of_nonces(spark):
+    r = random.Random(3)
+    uses = [(f"u{i:04d}", r.choice(["hot", "hot", "a", "b", None]), t + r.choice([0, 0, 0, 400]) if r.random() < 0.9 else None, t) for i in range(600) for t in [r.randint(0, 9000)]]
+    df = spark.createDataFrame([(*u, "x") for u in uses], "id string, nonce string, ts bigint, r bigint, _r string").repartition(5)
+    for memory in (1, 60, 300, 5000):
+        out = protocol.replays(df, "nonce", F.col("ts"), F.col("r"), "id", memory)
+        assert dict(values(out, "id", "verdict")) == remembered(uses, memory) and out.columns == [*df.columns, "verdict"]
+    assert protocol.replays(df.limit(0), "nonce", F.col("ts"), F.col("r"), "id").count() == 0
+
+
 def test_replays(spark):
     df = spark.createDataFrame([("a", "n", 100, 100), ("b", "n", 200, 200), ("c", "n", 0, 301), ("d", None, 1, 1), ("e", None, 1, 1), ("f", "m", 900, 500), ("g", "m", 500, 501), ("h", "m", None, 502)], "id string, nonce string, ts bigint, r bigint")
     out = dict(values(protocol.replays(df, "nonce", F.col("ts"), F.col("r"), "id"), "id", "verdict"))
