@@ -37,10 +37,11 @@ def pattern_totals(cells: DataFrame) -> DataFrame:
 
     The pattern of an identifier is the set of its cells. It is never gathered: the exclusive or of two hashes of each
     cell, and their number, stand for the set (an aggregate with map-side combining), identical ones are counted, and
-    the cells are those of one identifier that represents the pattern.
+    the cells are those of one identifier that represents the pattern. A null group is a group of its own.
     """
     groups = [c for c in cells.columns if c not in ("field_name", "i1", "i2")]
-    hashed = [F.bit_xor(F.xxhash64(F.lit(seed), *groups)).alias(f"x{seed}") for seed in (1, 2)]
+    # xxhash64 passes nulls over, so each group's null flag is hashed with it: ('a', null) and (null, 'a') are two cells.
+    hashed = [F.bit_xor(F.xxhash64(F.lit(seed), *[x for g in groups for x in (F.col(g).isNull(), F.col(g))])).alias(f"x{seed}") for seed in (1, 2)]
     sets = cells.groupBy("field_name", "i1", "i2").agg(*hashed, F.count(F.lit(1)).alias("n_cells"))
     patterns = sets.groupBy("field_name", "x1", "x2", "n_cells").agg(F.count(F.lit(1)).alias("n_ids"), F.min(F.struct("i1", "i2")).alias("rep"))
     stands_for = patterns.select("field_name", F.col("rep.i1").alias("i1"), F.col("rep.i2").alias("i2"), "n_ids")

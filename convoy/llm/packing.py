@@ -101,10 +101,28 @@ class Plan:
                     full += 1
                 self._gap(gap, container + full, n - full)
 
-    def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs by (size, first) as one sorted key; their containers and items to each."""
+    def lookup(self) -> tuple[np.ndarray, ...]:
+        """Sizes, where each one's runs begin and end, then the runs by (size, first): first item, container, items to each.
+
+        Numbers stay whole numbers of 64 bits and are never packed together, so sizes and counts have no common bound.
+        """
         runs = np.array(sorted(self.runs), dtype=np.int64).reshape(-1, 5)
-        return (runs[:, 0] << 44) + runs[:, 1], runs[:, 2], runs[:, 3]
+        sizes, begin = np.unique(runs[:, 0], return_index=True)
+        return sizes, begin, np.append(begin[1:], len(runs)), runs[:, 1], runs[:, 2], runs[:, 3]
+
+
+def containers_of(lookup: tuple[np.ndarray, ...], sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The containers of items of ``sizes`` (each one known to the plan) by their numbers among those of their size, from 0."""
+    known, begin, end, first, container, each = lookup
+    out = np.empty(len(sizes), dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        at = int(np.searchsorted(known, sizes[part[0]]))
+        if at == len(known) or known[at] != sizes[part[0]]:
+            raise ValueError(f"no item of size {sizes[part[0]]} was counted")
+        run = begin[at] + np.searchsorted(first[begin[at] : end[at]], numbers[part], side="right") - 1
+        out[part] = container[run] + (numbers[part] - first[run]) // each[run]
+    return out
 
 
 def sized_pieces(sizes: DataFrame, item_id: str, size: str, capacities: Sequence[tuple[int, int]]) -> DataFrame:
@@ -139,11 +157,10 @@ def pack(sizes: DataFrame, item_id: str, size: str, capacities: Sequence[tuple[i
         out, caps = np.zeros(len(cap), dtype=np.int64), cap.to_numpy()
         t, k, h = tokens.to_numpy(), number.to_numpy() - 1, spread.to_numpy()
         for one in np.unique(caps):
-            (keys, first, each), n = known.value[int(one)]
+            plan, n = known.value[int(one)]
             here = np.flatnonzero((caps == one) & (t > 0))
             if len(here):
-                run = np.searchsorted(keys, (t[here] << 44) + k[here], side="right") - 1
-                out[here] = first[run] + (k[here] - (keys[run] & ((1 << 44) - 1))) // each[run]
+                out[here] = containers_of(plan, t[here], k[here])
             empty = np.flatnonzero((caps == one) & (t <= 0))
             out[empty] = h[empty] % max(1, n)
         return pd.Series(out)

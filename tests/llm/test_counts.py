@@ -50,6 +50,21 @@ def test_parts_merge_and_any_cells_can_be_asked(seen):
     assert distinct_counts(pattern_totals(memberships(df.limit(0), ["user"], ["day", "host"])), BY).count() == 0
 
 
+def test_null_groups(spark):
+    """Two nullable groups with the same values in both: ('a', null) and (null, 'a') are different cells."""
+    r = random.Random(9)
+    rows = [("u1", "", "a", None), ("u3", "", "a", None), ("u2", "", None, "a"), *((f"v{r.randint(0, 30)}", "", r.choice(["a", "b", None]), r.choice(["a", "b", None])) for _ in range(200))]
+    df = spark.createDataFrame(rows, "user string, url string, day string, host string")
+    for part in (df.where("user like 'u%'"), df):
+        n = distinct_counts(pattern_totals(memberships(part, ["user"], ["day", "host"])), BY)
+        own = [tuple(x) for x in part.collect()]
+        want = {}
+        for level, by in enumerate(BY):
+            for user, _, day, host in own:
+                want.setdefault((level, day if "day" in by else None, host if "host" in by else None), set()).add(user)
+        assert {(x.level, x.day, x.host): x.n_distinct for x in n.collect()} == {k: len(v) for k, v in want.items()}
+
+
 def test_patterns_are_fewer_than_identifiers(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("user"), F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("day"), F.lit("h").alias("host"))
     assert pattern_totals(memberships(df, ["user"], ["day", "host"])).count() == 2

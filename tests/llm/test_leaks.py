@@ -70,3 +70,32 @@ def test_removal(spark):
     assert "sluice" not in out[1].text and out[1].text.startswith("Before very") and out[1].text.endswith(".</b> and after")
     assert out[1].n_cut == len(rows[0][1]) - len(out[1].text)
     assert cut("abcdef", [(1, 3), (2, 4)]) == "aef"
+
+
+def test_removal_does_not_depend_on_blocks(spark):
+    """A share that only all items together exceed, passages of several items that overlap, and one that a cut makes anew."""
+    r = random.Random(5)
+    word = lambda i: f"w{i}"
+    a, b = [word(i) for i in range(30)], [word(i) for i in range(20, 60)]
+    items = [(1, " ".join(a)), (2, " ".join(b)), *((i, " ".join(f"x{r.randint(0, 9)}" for _ in range(30))) for i in range(3, 20))]
+    filler = lambda k: [f"f{k}{i}" for i in range(40)]
+    rows = [
+        (1, filler(1) + a[:30] + ["and"] + b[10:40]),  # 60 of 101 words
+        (2, filler(2) + a[:20] + b + filler(3)),  # 60 of 140 words, overlapping
+        (3, filler(4) + a[:6] + b[20:40] + a[6:16] + filler(5)),  # what is left is a passage of item 1
+        (4, filler(6) + items[5][1].split()[:12] + filler(7)),
+        (5, ["plain"]),
+    ]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    e = spark.createDataFrame(items, "item_id bigint, item_text string")
+    out = {k: {x.doc_id: (x.text, x.n_cut) for x in remove_leaks(d, e, block_chars=k).collect()} for k in (10**6, 1000, 300)}
+    assert all(o == out[10**6] for o in out.values()) and set(out[300]) == {2, 3, 4, 5}
+    assert out[300][2][0].split() == filler(2) + filler(3) and out[300][3][0].split() == filler(4) + filler(5) and out[300][4][0].split() == filler(6) + filler(7)
+    assert found(spark.createDataFrame([(i, t) for i, (t, _) in out[300].items()], "doc_id bigint, text string"), e) == set()
+
+
+def test_grams_are_flat(spark):
+    """Memory of the set: some 70 bytes an n-gram; repeats within and across items count once each."""
+    grams = NGrams([(7, "a b c a b c a b c"), (8, "b c a x"), (7, "a b c")], 3)
+    assert {tuple(grams.table[g]): grams.items(g).tolist() for g in range(len(grams.hashes))} == {(0, 1, 2): [7], (1, 2, 0): [7, 8], (2, 0, 1): [7], (2, 0, 3): [8]}
+    assert grams.hits(["c a x", None, "b c a b"]) == [(0, 0, g) for g in range(4) if tuple(grams.table[g]) == (2, 0, 3)] + sorted((2, i, g) for i, w in enumerate([(1, 2, 0), (2, 0, 1)]) for g in range(4) if tuple(grams.table[g]) == w)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convoy.llm.packing import Plan, measured, pack
+from convoy.llm.packing import Plan, containers_of, measured, pack
 from convoy.llm.tokens import VOCABULARY, encoding, token_counter
 
 
@@ -97,3 +98,25 @@ def test_equal_sizes_spread_over_blocks(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(7).alias("n"))
     load = Counter(r.container for r in pack(df, "doc_id", "n", [(1, 64)]).collect())
     assert len(load) == -(-5000 // 9) and max(load.values()) == 9
+
+
+@pytest.mark.parametrize("capacity", [600_000, 1_000_000, 2_000_000, 2**40])
+def test_large_capacities(spark, capacity):
+    r = random.Random(capacity)
+    sizes = [r.choice([r.randint(1, capacity), r.randint(1, capacity // 50), capacity // 3 + 1, capacity // 2, 5]) for _ in range(400)]
+    plan = Plan(capacity, Counter(sizes))
+    _, items = filled(plan)
+    s = np.array([x for x, n in items.items() for _ in range(n)])
+    k = np.array([i for n in items.values() for i in range(n)])
+    load = Counter()
+    for c, x in zip(containers_of(plan.lookup(), s, k).tolist(), s.tolist(), strict=True):
+        load[c] += x
+    assert max(load.values()) <= capacity and len(load) == plan.containers <= best_fit(sizes, capacity) + 1
+    with pytest.raises(ValueError):
+        containers_of(plan.lookup(), np.array([capacity + 1]), np.array([0]))
+    if capacity <= 2_000_000:
+        df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n bigint").repartition(3)
+        load = Counter()
+        for x in pack(df, "doc_id", "n", [(1, capacity)]).collect():
+            load[x.container] += x.n_tokens
+        assert max(load.values()) <= capacity and len(load) == plan.containers and sum(load.values()) == sum(sizes)
