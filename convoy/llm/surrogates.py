@@ -9,13 +9,19 @@ from collections.abc import Mapping
 
 from convoy.llm.pii import ADDRESS, EMAIL, ID_NUMBER, NAME, PARTICLES, PHONE, fold
 
+#: Letters of initials, by script: consonants and vowels, each permuted among themselves (fixed tables).
+LETTERS = {
+    "latin": ("bcdfghjklmnpqrstvwxyz", "aeiou"),
+    "greek": ("βγδζθκλμνξπρστφχψ", "αεηιουω"),
+    "cyrillic": ("бвгджзклмнпрстфхцчшщ", "аеиоуыэюя"),
+}
 #: Letters that syllables are made of, by script (fixed tables).
 SCRIPTS = {
     "latin": ("bdfgklmnprstvz", "aeiou"),
     "greek": ("βγδζκλμνπρστφ", "αεηιου"),
     "cyrillic": ("бвгдзклмнпрст", "аеиоу"),
 }
-#: Given names of the detector's list that are borne by men without ending like it (fixed list), and by women likewise.
+#: Given names borne by men though they end in a, and by women though they do not (fixed lists).
 MEN = set("andrea luca sasha nicola hanno otto hugo mario marco diego pablo pedro ignacio fernando eduardo antonio matteo dario bruno leo theo".split())
 WOMEN = set("agnes astrid beatrix brigitte camille carmen charlotte claire delphine elke esther greta heike helene ilse ines ingrid ingrith irene isabel kirsi margot mathilde noemi ode pilar rosalind sian susanne sylvie tamsin amelie aurelie elodie julie lucie marie maelle renate stephanie sabine ulrike zoe cecile alice anne".split())
 #: Parts of a street's name that stay (fixed list).
@@ -97,27 +103,33 @@ def units(kind: str, value: str) -> list[tuple[str, str]]:
     return [("given" if r == "g" else "family", fold(value[a:b])) for r, a, b in name_parts(value) if r != "i"]
 
 
+#: Syllables of a stand-in, whatever the number of units, so that a corpus that grows keeps its stand-ins: 70 to their power.
+SYLLABLES = {"given": 4, "family": 6}
+#: From this try on, a stand-in is a little longer than its original, as its format has too few values.
+LONGER = 6
+
+
 class Surrogates:
-    """Stand-ins from a secret ``key``; ``syllables`` sets how many there are (70 to its power), ``attempts`` is the try
-    at which a unit's stand-in is its own alone (0 unless listed)."""
+    """Stand-ins from a secret ``key``; ``attempts`` is the try at which a unit's stand-in is its own alone (0 unless listed)."""
 
-    def __init__(self, key: str, syllables: int = 4, attempts: Mapping[tuple[str, str], int] | None = None):
-        self.key, self.syllables, self.attempts = key.encode(), syllables, attempts or {}
+    def __init__(self, key: str, attempts: Mapping[tuple[str, str], int] | None = None):
+        self.key, self.attempts = key.encode(), attempts or {}
+        self._initials: dict[str, str] = {}
+        for letters in (x for pair in LETTERS.values() for x in pair):
+            self._initials |= zip(letters, sorted(letters, key=lambda c: self._bits("initial", c, 0)), strict=True)
 
     def _bits(self, role: str, norm: str, attempt: int) -> int:
         return int.from_bytes(hmac.new(self.key, f"{role}\0{norm}\0{attempt}".encode(), hashlib.sha512).digest(), "big")
 
     def _letter(self, letter: str) -> str:
-        """Initials keep to each other: a keyed permutation of the consonants and of the other letters."""
-        consonants = SCRIPTS[script(letter)][0]
-        order = sorted(consonants, key=lambda c: self._bits("initial", c, 0))
-        low = fold(letter)
-        return like(letter, order[(ord(low[0]) - 97) % len(order)])
+        """Initials keep to each other: a keyed permutation of the consonants and one of the vowels; letters of no table stay."""
+        low = fold(letter)[:1]
+        return like(letter, self._initials.get(low, low))
 
-    def _word(self, bits: int, how: str, first: str = "", n: int | None = None, end: str = "") -> str:
+    def _word(self, bits: int, how: str, n: int, first: str = "", end: str = "") -> str:
         consonants, vowels = SCRIPTS[how]
         out = ""
-        for i in range(n or self.syllables):
+        for i in range(n):
             bits, c = divmod(bits, len(consonants))
             bits, v = divmod(bits, len(vowels))
             out += (first.lower() if first and not i else consonants[c]) + vowels[v]
@@ -136,12 +148,15 @@ class Surrogates:
         if role == "given":
             return fold(self._given(norm, attempt))
         if role == "family":
-            return fold(self._word(self._bits(role, norm, attempt), script(norm)))
+            return fold(self._family(norm, attempt))
         return unit(role, self._other(role, norm, norm, attempt))[1]
 
     def _given(self, given: str, attempt: int) -> str:
         end = {"latin": {"f": "na", "m": "n"}, "greek": {"f": "να", "m": "ς"}, "cyrillic": {"f": "на", "m": "н"}}[script(given)][gender(given)]
-        return self._word(self._bits("given", fold(given), attempt), script(given), self._letter(given[0]), end=end)
+        return self._word(self._bits("given", fold(given), attempt), script(given), SYLLABLES["given"] + attempt // LONGER, self._letter(given[0]), end)
+
+    def _family(self, family: str, attempt: int) -> str:
+        return self._word(self._bits("family", fold(family), attempt), script(family), SYLLABLES["family"] + attempt // LONGER)
 
     def replace(self, kind: str, value: str) -> str:
         """The stand-in for a value, spelled as the value is."""
@@ -156,7 +171,7 @@ class Surrogates:
             elif role == "g":
                 new = like(word, self._given(word, self.attempts.get(("given", fold(word)), 0)))
             else:
-                new = like(word, self._word(self._bits("family", fold(word), self.attempts.get(("family", fold(word)), 0)), script(word)))
+                new = like(word, self._family(word, self.attempts.get(("family", fold(word)), 0)))
             out += [value[at:a], new]
             at = b
         return "".join([*out, value[at:]])
@@ -175,8 +190,8 @@ class Surrogates:
                 if STREET_WORDS.match(word):
                     return word
                 end = STREET_END.search(word)
-                return like(word, self._word(own, script(word), n=max(2, self.syllables - 1)) + (end[0].lower() if end else ""))
-            return like(word, self._word(own, script(word), n=2))
+                return like(word, self._word(own, script(word), 4 + attempt // LONGER) + (end[0].lower() if end else ""))
+            return like(word, self._word(own, script(word), 3))
 
         if kind == ID_NUMBER:
             new = []
@@ -184,7 +199,7 @@ class Surrogates:
                 bits, own = divmod(bits, 260)
                 new.append(str(own % 10) if c.isdigit() else chr(65 + own % 26))
             fill = iter(new)
-            return re.sub(r"[A-Za-z0-9]", lambda m: like(m[0], next(fill).lower()), value)
+            return re.sub(r"[A-Za-z0-9]", lambda m: like(m[0], next(fill).lower()), value) + self._more(kind, norm, attempt)
         if kind == PHONE:
             # The way the number is prefixed stays: + or 00 and country code, or the first digit.
             head = re.match(r"(?:\+|00)\d{1,2}[ .\-/]?(?:\(0\))?|\(?(?:0?[1-9]|\d)", value)
@@ -195,7 +210,7 @@ class Surrogates:
                 keep += (m.end() if (m := re.match(r"[ .\-/]?\(0\)", value[keep:])) else 0)
             tail = re.sub(r"\D", "", value[keep:])
             digits = iter(str(bits % 10 ** len(tail)).zfill(len(tail))) if tail else iter("")
-            return value[:keep] + re.sub(r"\d", lambda m: next(digits), value[keep:])
+            return value[:keep] + re.sub(r"\d", lambda m: next(digits), value[keep:]) + self._more(kind, norm, attempt)
         if kind == EMAIL:
             marks = list(_DOTTED.finditer(value))
             at = next((m for m in marks if _plain(m) == "@"), None)
@@ -203,8 +218,19 @@ class Surrogates:
                 return value
             local = _RUN.sub(run, value[: at.start()])
             if fold(value[: at.start()]) == fold(local):
-                local += like(local, self._word(bits, "latin", n=2))
+                local += like(local, self._word(bits, "latin", 2))
+            if attempt >= LONGER:
+                local += self._more(kind, norm, attempt)
             labels = re.split(f"({_DOTTED.pattern})", value[at.end() :], flags=re.I)
             labels = [(like(x, "example") if i == len(labels) - 1 else _RUN.sub(run, x)) if i % 2 == 0 else x for i, x in enumerate(labels)]
             return local + at[0] + "".join(labels)
-        return _RUN.sub(run, value)
+        return _RUN.sub(run, value) if kind != ADDRESS or attempt < LONGER else self._longer_street(_RUN.sub(run, value), norm, attempt)
+
+    def _more(self, kind: str, norm: str, attempt: int) -> str:
+        """Digits that make a stand-in longer once its format has run out of values: none before the try ``LONGER``."""
+        n = attempt - LONGER + 1
+        return str(self._bits(f"{kind}+", norm, attempt) % 10**n).zfill(n) if n > 0 else ""
+
+    def _longer_street(self, value: str, norm: str, attempt: int) -> str:
+        """A street of no words of its own (5th Avenue): its number grows."""
+        return re.sub(r"\d+", lambda m: m[0] + self._more(ADDRESS, norm, attempt), value, count=1)

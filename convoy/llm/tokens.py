@@ -11,18 +11,41 @@ from pyspark.sql import functions as F
 
 #: Vocabulary as ranks; the path is a parameter of every operator that counts tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Vocabularies whose entries tell which words are common.
+VOCABULARIES = (VOCABULARY, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: How that vocabulary's tokenizer cuts text into words (fixed pattern).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=2)
 def encoding(path: str):
     """The tokenizer; made once in each worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def common_words(paths: tuple[str, ...]) -> frozenset[str]:
+    """Words of two letters and more that public vocabularies hold in small letters and not more readily with a capital: common words.
+
+    The order of a vocabulary's entries is about that of their frequency.
+    """
+    small, large = {}, {}
+    for path in paths:
+        for token, rank in ranks(path).items():
+            word = token[1:].decode("utf-8", "ignore")
+            if token[:1] == b" " and len(word) > 1 and word.isalpha():
+                if word.islower():
+                    small[word] = min(rank, small.get(word, rank))
+                elif word[1:].islower():
+                    large[word.lower()] = min(rank, large.get(word.lower(), rank))
+    return frozenset(w for w, r in small.items() if r <= large.get(w, r))
 
 
 def token_counter(path: str = VOCABULARY):

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from convoy.llm.pii import ADDRESS, EMAIL, ID_NUMBER, NAME, PHONE, Detector
-from convoy.llm.redact import find_pii, redact, stand_ins
-from convoy.llm.surrogates import Surrogates, gender, units
+from pii_texts import labelled
+
+from convoy.llm.pii import self_checked
+from convoy.llm.redact import Redaction, find_pii, redact, stand_in_norms, stand_ins
+from convoy.llm.surrogates import LETTERS, Surrogates, gender, units
 
 D = Detector()
+#: As if learned from a corpus.
+LEARNED = frozenset("ilse dario elodie rosalind pavla lucja sian zdenka".split())
 
 
-def found(text):
-    return {(k, text[a:b]) for a, b, k in D.spans(text)}
+def found(text, learned=LEARNED):
+    return {(k, text[a:b]) for a, b, k in D.spans(text, learned)}
 
 
 @pytest.mark.parametrize(
@@ -45,9 +52,35 @@ def test_found(text, want):
 
 
 def test_long_texts_and_more_names():
-    text = "x" * 50_000 + " " + "a." * 20_000 + "\nAsk Brunhilde Mertz about it\n" + "1 " * 20_000 + "(" * 5_000
+    text = "x" * 50_000 + " " + "a." * 20_000 + "\nBrunhilde Mertz. Ask about it\n" + "1 " * 20_000 + "(" * 5_000
     assert found(text) == set()
-    assert {(NAME, "Brunhilde Mertz")} == {(k, text[a:b]) for a, b, k in Detector(["Brunhilde"]).spans(text)}
+    assert {(NAME, "Brunhilde Mertz")} == {(k, text[a:b]) for a, b, k in Detector(["Brunhilde"]).spans(text)} == found(text, {"brunhilde"})
+    dense = " ".join(f"Jon{i:04d} x. tel: 07700 9{i:05d}, ID card AB{i:06d}; a{i}@k.test" for i in range(2_000))
+    began = time.process_time()
+    assert len(found(dense)) == 6_000 and time.process_time() - began < 3  # overlaps are not searched one by one
+
+
+def measures(texts):
+    both, extra, missed = 0, 0, 0
+    for text, want in texts:
+        got = found(text, frozenset())
+        both, extra, missed = both + len(got & want), extra + len(got - want), missed + len(want - got)
+    return both / (both + extra), both / (both + missed)
+
+
+def test_texts_of_other_origin():
+    """Precision and recall on labelled texts in phrases of their own; the odd ones have changed no rule."""
+    texts = labelled()
+    precision, recall = measures(texts[1::2])
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
+    precision, recall = measures(texts[::2])
+    assert precision >= 0.95 and recall >= 0.95, (precision, recall)
+
+
+def test_check_digits():
+    assert all(self_checked(v) for v in ("529.982.247-25", "12345678Z", "X1234567L", "1 85 05 78 006 084 91"))
+    assert not any(self_checked(v) for v in ("529.982.247-26", "111.111.111-11", "12345678A", "X1234567M", "1 85 05 78 006 084 92"))
+    assert found("seen: 529.982.247-25 and 12345678Z, not 12345678A; part 87654321X") == {(ID_NUMBER, "529.982.247-25"), (ID_NUMBER, "12345678Z")}
 
 
 @pytest.mark.parametrize(
@@ -77,7 +110,7 @@ def test_addresses_beside_marks_and_in_long_lines(text, want):
         ("Mr. Quillon Marsk, Frau Prof. Dr. Thora Ek and Mr. TOLL VARN came", {"Quillon Marsk", "Thora Ek", "TOLL VARN"}),
         ("Dear Thandiwe Mokoe,\nthanks\n\nKind regards,\r\n\r\nOluwo Adeyem\r\nclerk", {"Thandiwe Mokoe", "Oluwo Adeyem"}),
         ("> On day 5, Tolvan Kreel <t.k@post.example> wrote:\nok\n-- \nBaro Nguy\nmail: x", {"Tolvan Kreel", "Baro Nguy"}),
-        ("Tobin Vask a écrit : as Mr. Quill Nov wrote; later Quill Nov left, not Quill Novak", {"Tobin Vask", "Quill Nov"}),
+        ("Tobin Vask a écrit : as Mr. Quill Nov wrote; later Quill Nov left; Quill Novak", {"Tobin Vask", "Quill Nov"}),
         ("Marrow Bay wrote; Victoria Street was wet; from New York; thanks to Copperfold Tools; Best regards,\nMarketing Team", set()),
         ("Hello World! by Quarry Lamps, from mark down to jack up; However, John left; Unser Knoten <b>voll</b>", set()),
     ],
@@ -140,17 +173,56 @@ def test_queries_over_tables(spark):
     assert redact(df.limit(0), "k").count() == 0
 
 
+def settle(spark, values, history=None):
+    df = spark.createDataFrame(values, "kind string, pii_value string").repartition(3)
+    return {(r.role, r.norm): r.attempt for r in stand_ins(df, "k", history=history).collect()}
+
+
 def test_collisions_are_settled(spark):
-    """Two-digit numbers leave few stand-ins: each still gets one of its own, and both ways of writing agree."""
-    values = [f"A{i:02d}123" for i in range(40)]
-    ids = spark.createDataFrame([(ID_NUMBER, v) for v in values], "kind string, pii_value string")
-    small = spark.createDataFrame([(PHONE, f"0{i}0") for i in range(1, 9)], "kind string, pii_value string")
-    _, settled = stand_ins(ids.unionByName(small), "k")
-    tries = {(r.role, r.norm): r.attempt for r in settled.collect()}
-    own = Surrogates("k", 4, tries)
-    out = [own.replace(k, v) for k, v in [(ID_NUMBER, v) for v in values] + [(PHONE, f"0{i}0") for i in range(1, 9)]]
-    assert len(set(out)) == len(out)
-    assert set(tries) == {u for v in values for u in units(ID_NUMBER, v)} | {u for i in range(1, 9) for u in units(PHONE, f"0{i}0")}
+    """Formats with few values: each unit still gets a stand-in of its own, and none that occurs; so do all of a format's values."""
+    values = [(ID_NUMBER, f"A{i:02d}123") for i in range(40)] + [(PHONE, f"0{i}0") for i in range(1, 9)] + [(ID_NUMBER, f"{i:02d}") for i in range(100)] + [(ADDRESS, f"{i} 5th St") for i in range(1, 10)]
+    tries = settle(spark, values)
+    own = Surrogates("k", tries)
+    out = [own.replace(k, v) for k, v in values]
+    assert len(set(out)) == len(out) and not set(out) & {v for _, v in values}
+    assert set(tries) == {u for k, v in values for u in units(k, v)}
+
+
+def test_initials_are_permuted():
+    for consonants, vowels in LETTERS.values():
+        for letters in (consonants, vowels):
+            assert sorted(S._letter(c) for c in letters) == sorted(letters)
+    stand = {S.replace(NAME, f"{c}. Miller") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    assert len(stand) == 26 and S.replace(NAME, "O. Miller")[0] == S.replace(NAME, "Olaf Miller")[0]
+
+
+def test_stand_ins_stay_as_a_corpus_grows(spark):
+    few = [(NAME, f"Anna Fam{chr(97 + i % 26)}{chr(97 + i // 26)}o") for i in range(60)] + [(ID_NUMBER, f"{i:02d}") for i in range(0, 60)]
+    more = few + [(NAME, f"Olga Other{chr(97 + i)}") for i in range(20)] + [(ID_NUMBER, f"{i:02d}") for i in range(60, 90)]
+    first = settle(spark, few)
+    history = spark.createDataFrame([(r, n, a) for (r, n), a in first.items()], "role string, norm string, attempt int")
+    second = settle(spark, more, history)
+    assert {u: second[u] for u in first} == first
+    own = Surrogates("k", second)
+    assert len({own.replace(k, v) for k, v in more}) == len(more)
+    # Without a history, too, all but what clashed in one of them agree: their form does not depend on how many there are.
+    alone, together = Surrogates("k", first), Surrogates("k", settle(spark, more))
+    assert all(alone.replace(k, v) == together.replace(k, v) for k, v in few if k == NAME)
+
+
+def test_names_are_learned(spark):
+    """A given name that two sure names teach counts everywhere, in small letters and beside a comma; a word of one does not."""
+    texts = ["Regards,\nTolvan Kreel", "On day 5, Tolvan Mott <t.m@k.test> wrote:", "found by tolvan drees on monday", "This is for Brekk, Tolvan then", "Regards,\nZorvan Kreel", "found by zorvan drees on monday"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.pii_value) for r in find_pii(df).collect() if r.kind == NAME}
+    assert got == {(0, "Tolvan Kreel"), (1, "Tolvan Mott"), (2, "tolvan drees"), (3, "Brekk, Tolvan"), (4, "Zorvan Kreel")}
+    done = Redaction(df, "k")
+    assert {(r.doc_id, r.pii_value) for r in done.findings().collect() if r.kind == NAME} == got
+    new = {r.doc_id: r.text for r in done.documents().collect()}
+    assert new[5] == texts[5] and "drees" not in new[2] and new[2].startswith("found by ") and new[2].endswith(" on monday")
+    assert {r.doc_id: r.text for r in done.documents(-1).collect()} == new
+    stand = {r.stand_in for r in stand_in_norms(done).collect()}
+    assert len(stand) == done.settled.count()
 
 
 def test_both_ways_of_writing_agree(spark):
