@@ -7,7 +7,7 @@ import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
 
-from convoy.llm.tokens import VOCABULARIES, common_words
+from convoy.llm.tokens import VOCABULARIES, capital_words, common_words
 
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -71,12 +71,12 @@ STOCK_AFTER = re.compile(r"\s*(?:is|are) (?:out of|in) stock|\s+rows\b", re.I)
 ID_WORD = re.compile(
     r"(?<!\w)(?:tax[ -]?(?:id|number|no\b\.?)|tin|ssn|social security(?: (?:number|no\b\.?))?|national (?:id|identity|insurance)(?: (?:card|number|no\b\.?))*|ni (?:number|no\b\.?)|nino|id[ -]?card(?: (?:number|no\b\.?))?|identity card(?: (?:number|no\b\.?))?|passports?(?: (?:numbers?|no\b\.?))?"
     r"|steuer-?id(?:entifikationsnummer)?|steuernummer|personalausweis(?:nummer)?|ausweis(?:nummer|-nr)?|reisepass(?:nummer)?|pass(?:nummer|-nr)|sozialversicherungsnummer|rentenversicherungsnummer"
-    r"|passeport|num[ée]ro (?:fiscal|de s[ée]curit[ée] sociale|de passeport)|s[ée]curit[ée] sociale|carte d['’]identit[ée]|nir|dni|nie|nif|n[úu]mero de la seguridad social|seguridad social|pasaporte|(?:mi )?documento(?: nacional)?(?: de identidad)?|c[ée]dula|identificaci[óo]n|pi[èe]ce d['’]identit[ée]|num[ée]ro d['’]identit[ée]|n° de s[ée]curit[ée] sociale|ausweis|bsn|burgerservicenummer|aadhaar|aadhar|cpf|pesel|personnummer|codice fiscale|carta d['’]identità|passaporto|cnp|insz|curp|nhs (?:number|no\b\.?)|social insurance (?:number|no\b\.?)|pps (?:number|no\b\.?)|rijksregisternummer|t\.?c\.? kimlik(?: no)?|dowód osobisty|henkilötunnus)(?!\w)", re.I
+    r"|passeport|num[ée]ro (?:fiscal|de s[ée]curit[ée] sociale|de passeport)|s[ée]curit[ée] sociale|carte d['’]identit[ée]|nir|dni|nie|nif|n[úu]mero de la seguridad social|seguridad social|pasaporte|(?:mi )?documento(?: nacional)?(?: de identidad)?|c[ée]dula|identificaci[óo]n|pi[èe]ce d['’]identit[ée]|num[ée]ro d['’]identit[ée]|n° de s[ée]curit[ée] sociale|ausweis|bsn|burgerservicenummer|aadhaar|aadhar|cpf|pesel|personnummer|codice fiscale|carta d['’]identità|carnet de identidad|passaporto|cnp|insz|curp|nhs (?:number|no\b\.?)|social insurance (?:number|no\b\.?)|pps (?:number|no\b\.?)|rijksregisternummer|t\.?c\.? kimlik(?: no)?|dowód osobisty|henkilötunnus)(?!\w)", re.I
 )
 #: A word of each, in small letters, without accents: texts without any hold no keyword (fixed list).
 ID_WORDS = frozenset("""
 tax tin ssn social national ni nino passport passports steuer steueridentifikationsnummer steuerid steuernummer personalausweis personalausweisnummer ausweis ausweisnummer reisepass reisepassnummer
-passnummer pass sozialversicherungsnummer rentenversicherungsnummer passeport fiscal securite identite nir dni nie nif seguridad pasaporte documento cedula identificacion bsn burgerservicenummer
+passnummer pass sozialversicherungsnummer rentenversicherungsnummer passeport fiscal securite identite nir dni nie nif identidad seguridad pasaporte documento cedula identificacion bsn burgerservicenummer
 aadhaar aadhar cpf pesel personnummer fiscale identita passaporto cnp insz curp nhs pps rijksregisternummer kimlik dowod henkilotunnus
 """.split())
 #: Numbers whose own check digits prove them, without a keyword: Brazilian CPF, Spanish DNI and NIE, French NIR.
@@ -151,7 +151,7 @@ GREETINGS = frozenset("hi hello dear hey hallo liebe lieber bonjour hola cher ch
 OPENERS = frozenset("ask attn contact regards sincerely cordialement saludos gruss grusse grussen thanks cheers call email tell meet cc kollege kollegin nachbar nachbarin chef chefin freund freundin bruder schwester vater mutter arzt anwalt lehrer lehrerin professor doctor uncle aunt captain president groeten hilsen saluti".split())
 #: What before a name tells that a person comes (fixed lists), at the end of what precedes it.
 PERSON_BEFORE = re.compile(
-    r"(?:\b(?:(?:please )?ask|asked|attn|contact|tell|told|meet|met|colleague|friend|boss|manager|regards|sincerely|cordialement|saludos|gr(?:uß|üße|üßen)|(?:goes|credits?|thanks|thank you) to|dank an|dank geht an|thank|cc|named|name is|called|i am|i'm|this is|fragt|frag|fragen sie|kollege|kollegin|voyez avec|demandez à|voir avec|merci à|collègue"
+    r"(?:\b(?:(?:please )?ask|asked|attn|contact(?: person)?:?|ansprechpartner(?:in)?:?|tell|told|meet|met|colleague|friend|boss|manager|regards|sincerely|cordialement|saludos|gr(?:uß|üße|üßen)|(?:goes|credits?|thanks|thank you) to|dank an|dank geht an|thank|cc|named|name is|called|i am|i'm|this is|fragt|frag|fragen sie|kollege|kollegin|voyez avec|demandez à|voir avec|merci à|collègue"
     r"|gracias a|preguntad a|preguntar a|pregunta a|compañer[oa]|(?:found|written|reported|fixed|reviewed|signed|approved|posted|sent|suggested|caught|spotted|made|authored|maintained) by|day \d+|dr|prof|mrs?|ms|herrn?|frau|mme|señora?|monsieur|madame)[.,:]*|\b(?:on|am|le|el) [^\n]{1,40}\d,|(?:^|\n)[ \t>]*(?:from|von|de|to|an|cc|author|name|reporter|signed|owner|contact):)[ \t ]+\(?$", re.I
 )
 CLOSING_BEFORE = re.compile(r"(?:regards|sincerely|faithfully|cheers|thanks|cordialement|saludos|saluti|groeten|hilsen|grüßen|grüße|gruß|wishes)[,.!]?[ \t]*(?:\r?\n[ \t>]*){0,3}$", re.I)
@@ -160,7 +160,10 @@ SIGN_BEFORE = re.compile(r"(?:^|\n)[ \t>]*(?:--|__|~~|\*\*|==|—)[\-_~*=—]*[
 PERSON_AFTER = re.compile(r"\)?[ \t ]+(?:said|says|wrote|writes|disagrees|disagreed|told|asked|asks|replied|thinks|thought|agreed|explained|answered|schrieb|schreibt|meint|meinte|sagt|sagte|fragt|fragte|dazu|a écrit|écrit|écrivit|dit|dijo|escribió|escribe|pregunta|ha scritto|schreef|skrev)\b|\)[ \t]disagrees", re.I)
 MAIL_AFTER = re.compile(r"[ \t ]*(?:<|&lt;|\[)(?:mailto:)?[\w.+%\-]+(?:@|\s?[\[({]\s?at\b|\s+at\s|&#0*64;|&commat;)", re.I)
 #: A word in small letters before it.
-WITHIN = re.compile(rf"(?<![\w.\-/]){_L}+[ \u00a0]$")
+WITHIN = re.compile(rf"(?<![\w.\-/]){_L}+,?[ \u00a0][\"„“«(]?$")
+#: A word in small letters after it; and a family name written as one, not like a product's.
+AFTERWARDS = re.compile(r"[ \u00a0](?=[^\W\d_])(?-i:[a-zà-öø-ÿ])")
+PLAIN = re.compile(rf"(?:(?:Mc|Mac|O['’]|D['’])?[{_UP}](?:(?![{_UP}]){_L})+)(?:-[{_UP}]{_L}+)*")
 LINE_END = re.compile(r"[ \t*_~>]*(?:[,.!;:]?[ \t]*(?:\r?\n|$)|<br)")
 GREETED = re.compile(r"[ \t]*(?:[,!:;–]|\r?\n|$)")
 #: Before a name in small letters, which must not lie further off (fixed list).
@@ -232,7 +235,7 @@ class Detector:
 
     def __init__(self, given_names=(), vocabularies=VOCABULARIES):
         self.given = frozenset(map(fold, GIVEN_NAMES)) | {fold(n) for n in given_names}
-        self.common = common_words(tuple(vocabularies))
+        self.common, self.proper = common_words(tuple(vocabularies)), capital_words(tuple(vocabularies))
 
     def spans(self, text: str, learned=frozenset()) -> list[tuple[int, int, str]]:
         """Disjoint (begin, end, kind), in order; names that need a learned given name count if it is in ``learned``."""
@@ -450,7 +453,11 @@ class Detector:
             turned = fold(family.split("-")[0])
             return (begin, end, None, lesson if turned not in self.given else None)
         # In the midst of a sentence two words of their own that stand alone are a name; elsewhere the given name must be known.
-        lonely = i == 0 and n == len(parts) and WITHIN.search(text, max(0, begin - 40), begin) and given[1:].islower() and family[-1].islower()
+        # Two words that are both well known with a capital are as likely a place or a firm.
+        lonely = (
+            n == len(parts) and (WITHIN.search(text, max(0, begin - 40), begin) if i == 0 else i == 1 and AFTERWARDS.match(text, end))
+            and given[1:].islower() and PLAIN.fullmatch(family) and not (gl in self.proper and fl in self.proper)
+        )
         return (begin, end, None if lonely else key, None)
 
     def _reversed(self, text: str, m: re.Match):

@@ -48,6 +48,13 @@ def common_words(paths: tuple[str, ...]) -> frozenset[str]:
     return frozenset(w for w, r in small.items() if r <= large.get(w, r))
 
 
+@lru_cache(maxsize=2)
+def capital_words(paths: tuple[str, ...]) -> frozenset[str]:
+    """Words, in small letters, that public vocabularies hold with a capital: well-known proper names and brands, among others."""
+    tokens = (t[1:].decode("utf-8", "ignore") for path in paths for t in ranks(path) if t[:1] == b" ")
+    return frozenset(w.lower() for w in tokens if len(w) > 2 and w.isalpha() and w[0].isupper() and w[1:].islower())
+
+
 def token_counter(path: str = VOCABULARY):
     """A column function: number of tokens of a text; 0 for null."""
 

@@ -1,7 +1,8 @@
 """Labelled texts for the detector, written by hand and in other phrases than the test tables' posts.
 
 Findings are marked in the text: {n:...} name, {m:...} e-mail, {p:...} telephone, {i:...} identity number, {a:...} address.
-Rules and lists may be changed in the light of the even ones (counted from 0) only; the odd ones are held out for the figures in README.
+``TEXTS`` are for development: rules and lists were changed after looking at what was missed in both halves of them.
+``FRESH`` were written after that and measured once, before anything else changed; README gives that measurement.
 """
 
 import re
@@ -71,11 +72,45 @@ We owe {n:Abdul Rahman} and {n:Leticia Moraes} a beer.
 """
 
 
-def labelled():
+FRESH = """
+The landlord, {n:Giorgos Stavrou}, keeps the keys at {a:34 Harbour Lane}.
+Kindly cc {n:Yvonne Achterberg} and {n:Tunde Bakare} on all replies.
+{n:Magnus Eriksen} replied that the patch was already merged.
+Bonjour {n:Solène Marchand},\\nvotre colis est au {a:27 avenue Victor Hugo}.
+Her tax number {i:93 815 08152} was typed twice by mistake.
+Gruß,\\n{n:Friedhelm Naumann}\\nTel. {p:0221 555 0143}
+We compared Amazon Redshift with Google BigQuery and Snowflake.
+My sister {n:Adaeze Nwosu} moved from Port Harcourt to Cape Town.
+write to {m:s.petrovic(at)lab(dot)example} or ring {p:+385 1 555 0177}
+As {n:Bartholomew Quigley} explained, a B-tree does not need it.
+Prof. {n:Ludmila Novotná} teaches at Charles University in Prague.
+the driver was {n:Mohammed Al-Farsi}, plate unknown
+Carnet de identidad {i:52998224-K}, calle desconocida.
+The plumber lives at {a:1600 Juniper Avenue}; his van was parked in Elm Court.
+"{n:Hannelore Weiß}" stand auf dem Umschlag, darunter {a:Kirchgasse 3}.
+Thanks, {n:Dmitri Sokolov}
+Error 500 on Monday, Error 502 on Tuesday, then silence. Regards, the Platform Team
+El paquete es para {n:Rocío Aldana}, {a:Plaza de España 9}.
+Is {n:Kenji Watanabe} still the maintainer of the scheduler?
+{n:Saoirse Kelleher}'s laptop was stolen; report it to {p:020 7946 0991}.
+Passport {i:AB1234567} belongs to {n:Natalia Ivanova}, not to me.
+Both Northern Ireland and New South Wales changed their clocks.
+Die Rechnung an {n:Konstantin Vogel}, {a:Am Stadtpark 112}, ist offen.
+We read Pride and Prejudice, then Crime and Punishment.
+Contact person: {n:Beatriz Figueiredo}, {m:b.figueiredo@porto.test}
+I asked {n:Ravi Subramanian} whether Part 4471-22-9981 is in stock.
+{n:Élise Vandenberghe} a écrit :\\n> on attend la suite
+Our guests were {n:Lord} Byron's readers and a few tourists.
+Appointment for {n:Zoltán Kiss} at 14:30, room 12.
+Silicon Valley and Wall Street disagree about it.
+"""
+
+
+def labelled(texts=TEXTS):
     """(text, {(kind, value)})."""
     out = []
-    for line in TEXTS.strip().split("\n"):
-        line = line.replace("{n:Dr}", "Dr").replace("Frau {n:Müller}", "Frau Müller").replace("\\n", "\n")
+    for line in texts.strip().split("\n"):
+        line = line.replace("{n:Dr}", "Dr").replace("{n:Lord}", "Lord").replace("Frau {n:Müller}", "Frau Müller").replace("\\n", "\n")
         found = {(KINDS[k], v) for k, v in re.findall(r"\{([nmpia]):([^}]*)\}", line)}
         out.append((re.sub(r"\{[nmpia]:([^}]*)\}", r"\1", line), found))
     return out
