@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoy.operators.ranking import Fold, Then, prefix
-from convoy.sources.tables import shared_dir
+from convoy.sources.tables import scratch
 
 #: Factors on reputation, the floor and how long a member may stay at it, missed beats that evict, lowest weight (fixed values).
 FAILURE, SUCCESS, HEARTBEAT = 0.5, 1.5, 1.1
@@ -54,16 +54,21 @@ def first_eviction(events: DataFrame, member: Sequence[str], at_us: str, order:
     A failure that leaves the reputation at or below the floor starts a timer if none runs; a later one ``stay_us`` or
     more after it evicts. A success, or a failure above the floor, clears the timer; heartbeats do not.
     """
-    shared_dir(events.sparkSession)
     narrow = list(dict.fromkeys([*member, *order, at_us, "kind", "reputation"]))
-    # Written once, as each of the two folds below reads it twice.
-    walked = reputation(events, member, order, block).where("kind <> 'heartbeat'").select(*narrow).checkpoint()
-    floor = (F.col("kind") == "failure") & (F.col("reputation") <= FLOOR)
-    # The timer's start is the last failure at the floor that follows something else.
-    after = prefix(walked.withColumn("_low", floor), member, order, block, {"_before": Fold("last", F.col("_low"), before=True)})
-    starts = F.col("_low") & ~F.coalesce("_before", F.lit(False))
-    timed = prefix(after, member, order, block, {"_t0": Fold("last", F.when(starts, F.col(at_us)))}).where("_low")
-    return timed.where(F.col(at_us) - F.col("_t0") >= stay_us).groupBy(*member).agg(F.min(at_us).alias("evicted_us"))
+    # Written once, as the fold below reads it twice.
+    path = scratch(events.sparkSession, "walked")
+    low = (F.col("kind") == "failure") & (F.col("reputation") <= FLOOR)
+    reputation(events, member, order, block).where("kind <> 'heartbeat'").withColumn("_low", low).select(*narrow, "_low").write.parquet(path)
+    walked = events.sparkSession.read.parquet(path)
+    # Between two events that clear the timer only failures at the floor lie; the first of them started it. One fold numbers
+    # the stretches, and the earliest failure that lasts long enough is found by an aggregate over each.
+    stretches = prefix(walked, member, order, block, {"_g": Fold("sum", F.when(F.col("_low"), 0).otherwise(1).cast("bigint"))}).where("_low")
+    starts = stretches.groupBy(*member, "_g").agg(F.min(at_us).alias("_t0"), F.max(at_us).alias("_t1")).where(F.col("_t1") - F.col("_t0") >= stay_us)
+    # Of a member's stretches that last long enough the earliest decides.
+    first = starts.groupBy(*[F.col(m).alias(f"_m{i}") for i, m in enumerate(member)]).agg(F.min(F.struct("_t0", "_g")).alias("_s"))
+    same = [F.col(m).eqNullSafe(F.col(f"_m{i}")) for i, m in enumerate(member)]
+    timed = stretches.join(first, same, "inner").where((F.col("_g") == F.col("_s._g")) & (F.col(at_us) - F.col("_s._t0") >= stay_us))
+    return timed.groupBy(*member).agg(F.min(at_us).alias("evicted_us"))
 
 
 def evictions(kinds: Sequence[str], times: Sequence[int], stay_us: int = FLOOR_US) -> list[int]:

@@ -43,12 +43,12 @@ def duplicate_report(deduplicated: DataFrame, by: Sequence[str]) -> DataFrame:
     return deduplicated.groupBy(*by).agg(F.count(F.lit(1)).alias("n_requests"), F.count_if("duplicate").alias("n_duplicates"))
 
 
-def latest(exports: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The last row of each key by ``order``; remaining columns break ties, so the result is defined.
+def latest(exports: DataFrame, key: str, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The last row of each key by ``order``, which should be total: ``key``, ``order`` and ``columns`` (all others if None).
 
-    An aggregate, so copies combine before the shuffle."""
-    rest = [c for c in exports.columns if c not in (key, *order)]
-    return exports.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_l")).select(key, "_l.*").select(*exports.columns)
+    An aggregate, so copies combine before the shuffle; only the columns named are read, sorted and shuffled."""
+    rest = [c for c in (exports.columns if columns is None else columns) if c not in (key, *order)]
+    return exports.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_l")).select(key, "_l.*")
 
 
 def visible(jobs: DataFrame, now: int) -> DataFrame:

@@ -37,7 +37,7 @@ def retry_after_streaks(spark, sf):
 
 
 def oversized_bodies(spark, sf):
-    return admission.oversized(jobs(spark, sf), "body", MAX_BODY).select("id", "body_bytes", "limit_bytes")
+    return admission.oversized(jobs(spark, sf, "body"), "body", MAX_BODY).select("id", "body_bytes", "limit_bytes")
 
 
 def admission_snapshot(spark, sf):
@@ -66,7 +66,7 @@ def delivery_digest(spark, sf):
 
 def metrics_by_upstream(spark, sf):
     s = F.col("status")
-    j = jobs(spark, sf).select("user_id", upstream_key().alias("upstream"), "status")
+    j = jobs(spark, sf, "user_id", "url").select("user_id", upstream_key().alias("upstream"), "status")
     return metrics.counts_by(j, ["user_id", "upstream"], dispatched=s.isin("in_flight", "completed", "failed"), completed=s == "completed", failed=s == "failed")
 
 

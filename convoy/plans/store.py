@@ -22,15 +22,15 @@ def duplicate_report(spark, sf):
 
 def job_lookup(spark, sf):
     """The visible jobs that receipts mention."""
-    return store.lookup(jobs(spark, sf), table(spark, sf, "target_server").select(F.col("job_id").alias("id")), NOW_MS).select(*CORE)
+    return store.lookup(jobs(spark, sf, *CORE), table(spark, sf, "target_server").select(F.col("job_id").alias("id")), NOW_MS).select(*CORE)
 
 
 def queued_jobs(spark, sf):
-    return store.queued(jobs(spark, sf), NOW_MS).select(*CORE)
+    return store.queued(jobs(spark, sf, *CORE), NOW_MS).select(*CORE)
 
 
 def store_counts(spark, sf):
-    return store.counts(jobs(spark, sf), NOW_MS)
+    return store.counts(jobs(spark, sf, "expires_at"), NOW_MS)
 
 
 def job_latest_status(spark, sf):
@@ -42,17 +42,17 @@ def job_expiry(spark, sf):
 
 
 def recover_in_flight(spark, sf):
-    return store.recover_in_flight(jobs(spark, sf), routing.SHARED, NOW_MS).select(*CORE, "returned")
+    return store.recover_in_flight(jobs(spark, sf, *CORE), routing.SHARED, NOW_MS).select(*CORE, "returned")
 
 
 def ttl_sweep(spark, sf):
-    return store.sweep(jobs(spark, sf), NOW_MS).select(*CORE)
+    return store.sweep(jobs(spark, sf, *CORE), NOW_MS).select(*CORE)
 
 
 def deleted_jobs(spark, sf):
     """Jobs left when those whose delivery failed are deleted."""
     failed = table(spark, sf, "target_server").where("status = 'failed'").select(F.col("job_id").alias("id"))
-    return store.delete(jobs(spark, sf), failed).select(*CORE)
+    return store.delete(jobs(spark, sf, *CORE), failed).select(*CORE)
 
 
 def request_validation(spark, sf):
@@ -66,17 +66,17 @@ def member_validation(spark, sf):
 
 
 def rate_config_lookup(spark, sf):
-    return routing.rate_limits(jobs(spark, sf), table(spark, sf, "rate_cfg"), routing.host_of()).select("id", "rps", "max_concurrent")
+    return routing.rate_limits(jobs(spark, sf, "url"), table(spark, sf, "rate_cfg"), routing.host_of()).select("id", "rps", "max_concurrent")
 
 
 def upstream_key(spark, sf):
-    return jobs(spark, sf).select("id", routing.upstream_key().alias("upstream"), routing.trust_name().alias("trust_name"))
+    return jobs(spark, sf, "url").select("id", routing.upstream_key().alias("upstream"), routing.trust_name().alias("trust_name"))
 
 
 def tenant_queue_key(spark, sf):
     """Every upstream isolated but those without a host."""
     isolated = routing.host_of() != ""
-    return jobs(spark, sf).select("id", routing.tenant_key("user_id", "headers", isolated).alias("queue"))
+    return jobs(spark, sf, "user_id", "headers", "url").select("id", routing.tenant_key("user_id", "headers", isolated).alias("queue"))
 
 
 def queue_mode_asof(spark, sf):

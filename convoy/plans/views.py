@@ -52,9 +52,12 @@ def exports(spark: SparkSession, sf: str) -> DataFrame:
     return j.withColumns({"status": F.lower("status"), "created_ms": epoch_ms("created_at"), "loaded_us": micros("loaded_at")}).drop("created_at", "loaded_at")
 
 
-def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """The last export of each job."""
-    return latest(exports(spark, sf), "id", ["loaded_us", "status"])
+def jobs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The last export of each job: ``id, loaded_us, status`` and the columns named. Ties go to the later row of the files,
+    so what is read is what is asked for."""
+    place = {"_f": F.xxhash64("_metadata.file_path"), "_r": F.col("_metadata.row_index")}
+    e = exports(spark, sf).select("*", *[c.alias(n) for n, c in place.items()])
+    return latest(e, "id", ["loaded_us", "status", "_f", "_r"], columns).drop("_f", "_r")
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:

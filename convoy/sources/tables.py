@@ -22,11 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     The cluster names it in ``spark.checkpoint.dir``; only where neither that setting nor a checkpoint folder exists
-    (a single-machine test session) a temporary one is made.
+    (a single-machine test session) a temporary one is made. On a cluster that is an error, as driver and executors would
+    each see a folder of their own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="convoy-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -47,6 +50,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
 
 
+def size_on_disk(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files under a folder; 0 if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(target).getLength() if system.exists(target) else 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; missing paths are fine."""
     jvm = spark.sparkContext._jvm

@@ -8,7 +8,7 @@ import models
 import pytest
 from pyspark.sql import functions as F
 
-from convoy.operators import admission, metrics, pacing, pools, routing
+from convoy.operators import admission, metrics, pacing, pools, ranking, routing
 from convoy.operators.ranking import Fold, blocks_of, prefix, rank_in_blocks
 
 QUEUES, N = ("a", "b", None), 60
@@ -132,3 +132,40 @@ def test_picks_match_virtual_time(spark):
     assert out == models.picks(weights, 400)
     share = {r.m: r.picks for r in pools.round_robin_share(df.where("m < 3"), "p", "m", "w", 2000).collect()}
     assert abs(share[1] - 1600) <= 1 and share[1] + share[2] == 2000
+
+
+@pytest.mark.parametrize("split", [1, 7])
+def test_cut_blocks_change_no_fold(data, split, monkeypatch):
+    rows, df = data
+    monkeypatch.setattr(ranking, "SPLIT_ROWS", split)
+    monkeypatch.setattr(ranking, "SPLIT_BYTES", 0)
+    wide = blocks_of("t", 10**9)  # one block a key, were it not cut
+    one = got(pacing.paced(df, ["q"], "t", ["t", "seq"], 50, wide), "dispatch_us")
+    rps = got(pacing.rate_trajectory(df, ["q"], ["t", "seq"], "h", 20.0, wide), "rps")
+    number = got(rank_in_blocks(df, ["q"], ["t", "seq"], wide, "n"), "n")
+    for part in by_queue(rows).values():
+        assert [one[r[2]] for r in part] == models.paced([r[1] for r in part], 50)
+        assert [rps[r[2]] for r in part] == pytest.approx(models.rates([r[4] for r in part], 20.0), abs=2e-6)
+        assert [number[r[2]] for r in part] == list(range(1, len(part) + 1))
+
+
+def test_a_hot_day_is_cut(spark, monkeypatch):
+    """A hundred times the rows of other days in one, most of them in one hour: no piece holds more than a fortieth."""
+    monkeypatch.setattr(ranking, "SPLIT_BYTES", 0)
+    day = 86_400_000_000
+    calm = spark.range(50 * 400).select((F.col("id") % 50 * day + F.col("id") * 977).alias("t"), F.col("id").alias("seq"))
+    hot = spark.range(40_000).select((7 * day + F.when(F.col("id") % 10 > 0, F.col("id") * 90_000).otherwise(F.col("id") * 2_000_000)).alias("t"), (F.col("id") + 10**6).alias("seq"))
+    both = calm.unionByName(hot).withColumns({"k": F.struct(F.lit("all")), "b": F.struct(blocks_of("t", day).alias("b"), F.lit(0).alias("p"))})
+    cut = ranking.cut_blocks(both, ["k"], "b", "t", 2_000)
+    sizes = {(r.b.b, r.b.p): r["count"] for r in cut.groupBy("b").count().collect()}
+    assert sum(sizes.values()) == 60_000 and max(sizes.values()) <= 1_000 and len({p for b, p in sizes if b == 7}) > 500
+    assert all(p == 0 for b, p in sizes if b != 7)
+    numbered = rank_in_blocks(both.drop("k", "b").withColumn("k", F.lit(1)), ["k"], ["t", "seq"], blocks_of("t", day), "n")
+    assert numbered.agg(F.count_distinct("n"), F.max("n")).first()[:] == (60_000, 60_000)
+
+
+def test_text_orders_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SPLIT_ROWS", 1)
+    monkeypatch.setattr(ranking, "SPLIT_BYTES", 0)
+    df = spark.createDataFrame([(c,) for c in "cabd"], "s string")
+    assert sorted((r.s, r.n) for r in rank_in_blocks(df.withColumn("k", F.lit(0)), ["k"], ["s"], F.lit(0), "n").collect()) == list(zip("abcd", range(1, 5), strict=True))
