@@ -15,6 +15,8 @@ from convoy.sources.tables import remove, scratch
 
 #: Rows of a file that share one entry of its deletion vector, as a power of two.
 CHUNK_BITS = 16
+#: Input files whose vectors share a folder, and bytes of a row group of vectors, of which a reader takes those of its file.
+FILES_PER_FOLDER, GROUP_BYTES = 32, 4 << 20
 BLANKS = " \t\n\r\f\v"
 
 
@@ -56,7 +58,7 @@ class DeletionVectors:
         remove(self.spark, self.path)
 
 
-def first_deliveries(spark: SparkSession, source: str, key: Column, order: Sequence[str], folders: int = 16) -> DeletionVectors:
+def first_deliveries(spark: SparkSession, source: str, key: Column, order: Sequence[str]) -> DeletionVectors:
     """Find all but the first row, by ``order``, of each value of ``key`` in the Parquet files under ``source``.
 
     Rows whose key is null are all first. ``order`` must tell copies apart; where it does not, the row's place in the
@@ -67,10 +69,14 @@ def first_deliveries(spark: SparkSession, source: str, key: Column, order: Seque
     2. Keys with copies are joined back to the narrow rows; all but the winner's position are surplus. A hot key is
        split by adaptive skew joins, as its one winner can be repeated.
     3. Surplus positions are gathered by file and chunk of rows (at most 2**16 to a vector entry) into a table in the
-       shared folder. Payloads are then read with the entries of their own file as a filter.
+       shared folder, in one file for every ``FILES_PER_FOLDER`` input files, sorted by input file. Payloads are then
+       read with the entries of their own file as a filter: a reader opens one file of vectors and reads the row groups
+       that hold its own, so work grows with the number of input files and not with its square.
     """
+    wide = spark.read.parquet(source)
+    folders = max(1, -(-len(wide.inputFiles()) // FILES_PER_FOLDER))
     narrow = (
-        spark.read.parquet(source)
+        wide
         .select(key.alias("k"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("at"))
         .where("k is not null")
     )
@@ -81,7 +87,9 @@ def first_deliveries(spark: SparkSession, source: str, key: Column, order: Seque
         surplus.groupBy("f", F.shiftright("r", CHUNK_BITS).alias("chunk"))
         .agg(F.collect_list(F.col("r").bitwiseAND((1 << CHUNK_BITS) - 1).cast("int")).alias("rows"))
         .withColumn("folder", F.pmod("f", F.lit(folders)))
-        .write.partitionBy("folder").parquet(path)
+        .repartition("folder")
+        .sortWithinPartitions("folder", "f", "chunk")
+        .write.option("parquet.block.size", GROUP_BYTES).partitionBy("folder").parquet(path)
     )
     return DeletionVectors(source, path, folders, spark)
 

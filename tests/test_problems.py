@@ -143,3 +143,21 @@ def test_waiting_order(keyed):
         own = sorted((x for x in rows if x[0] == k), key=lambda x: (x[2] is not None, x[2] or 0, x[3]))
         assert [got.pop(x[3]) for x in own] == list(range(1, len(own) + 1))
     assert not got
+
+
+def test_vectors_of_many_files(spark, tmp_path):
+    """A reader opens one file of vectors, whatever the number of input files, and takes the row groups of its own file."""
+    import glob
+
+    for files in (20, 200):
+        path = str(tmp_path / f"in{files}")
+        rows = spark.range(files * 10).select(F.col("id").alias("rec_id"), F.concat(F.lit("d"), F.floor(F.col("id") / 3).cast("string")).alias("x_l8_delivery_id"), F.lit("j").alias("job_id"), F.lit("1").alias("x_l8_timestamp"), F.timestamp_seconds(F.col("id")).alias("received_at"))
+        rows.repartition(files, "rec_id").write.parquet(path)
+        n = len(spark.read.parquet(path).inputFiles())
+        vectors = first_deliveries(spark, path, receipt_key(), ["received_at", "rec_id"])
+        assert vectors.folders == -(-n // 32)
+        per_folder = {f: len(glob.glob(f"{vectors.path.removeprefix('file://')}/folder={f}/*.parquet")) for f in range(vectors.folders)}
+        assert max(per_folder.values()) == 1
+        assert sorted(r.rec_id for r in vectors.kept(["rec_id"]).collect()) == list(range(0, files * 10, 3))
+        assert vectors.surplus(["rec_id"]).count() == files * 10 - len(range(0, files * 10, 3))
+        vectors.drop()
