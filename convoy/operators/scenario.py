@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Overload gained per request above capacity, by behaviour (fixed values).
@@ -54,6 +54,8 @@ class Worker:
                 status, rate = 500, 1.0
             case "recovering":
                 status, rate = (500, 1.0) if second <= 5 else (200, 2.0) if second <= 10 else (200, cap)
+            case "bad":
+                status, rate = 500, 1.0
             case "fragile":
                 rate = max(1.0, cap - self.overload / 2)
         if self.crashed_until >= second:
@@ -98,13 +100,13 @@ def observations_pivot(observed: DataFrame, workers: list[int]) -> DataFrame:
     return wide.select("second", *[F.coalesce(F.col(str(w)), F.lit(0)).alias(f"w{w}") for w in workers])
 
 
-def summary(observed: DataFrame, jobs: int) -> DataFrame:
+def summary(observed: DataFrame, jobs: Column) -> DataFrame:
     """One row: ``completed, failed, remaining, drained_at`` - the first second by which ``jobs`` were done, else 0 - from
     rows of ``second, completed, failed`` that count up."""
     done = F.col("completed") + F.col("failed")
     return observed.agg(
         F.max("completed").alias("completed"), F.max("failed").alias("failed"),
-        (F.lit(jobs) - F.max(done)).cast("bigint").alias("remaining"), F.coalesce(F.min(F.when(done >= jobs, F.col("second"))), F.lit(0)).cast("bigint").alias("drained_at"),
+        (jobs - F.max(done)).cast("bigint").alias("remaining"), F.coalesce(F.min(F.when(done >= jobs, F.col("second"))), F.lit(0)).cast("bigint").alias("drained_at"),
     )
 
 

@@ -42,9 +42,9 @@ def sessionize_stream(events: DataFrame, user: str, at: str, gap_ms: int = GAP_M
     Interval states are kept per user until the watermark, ``late`` behind the newest event, has passed their end; an
     event that late or less still joins, or joins together, the sessions it touches. Later ones are left out. With
     ``event_id``, repeated copies of an event (same user, time and id) count once, and ids are kept as long; rows without
-    an id count each. Interval states of a batch merge before the shuffle.
+    an id count each. Interval states of a batch merge before the shuffle if the session's setting
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is true.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = events.where(F.nullif(F.col(user), F.lit("")).isNotNull()).withWatermark(at, late)
     if event_id:
         rows = rows.where(F.col(event_id).isNotNull()).dropDuplicates([user, at, event_id]).unionByName(rows.where(F.col(event_id).isNull()))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from convoy.plans import dispatch, pools, problems, reports, store, streams
+from convoy.plans import dispatch, pipeline, pools, problems, reports, store, streams
 
-MODULES = [problems, store, dispatch, pools, reports, streams]
+MODULES = [problems, store, dispatch, pools, reports, pipeline, streams]
 
 
 def queries() -> dict:

@@ -128,7 +128,15 @@ QUERIES = {
         retry_schedule, outcome_classify, failure_report, failover_attempts, webhook_retry_schedule,
     )
 }
+#: One job after the other: the slot that is free first, the pace, and the slots afterwards.
+_MULTI = with_("fresh").replace("with ", "with recursive ", 1) + f""", i as (select upstream, arrived_us, seq, service_us, row_number() over (partition by upstream order by arrived_us, seq) as i from fresh),
+    w as (select upstream, 0::bigint as arrived_us, 0::bigint as seq, 0::bigint as service_us, 0::bigint as i, null::bigint as t, [0, 0, 0]::bigint[] as free from (select distinct upstream from fresh)
+        union all select upstream, arrived_us, seq, service_us, i, t, list_sort(list_append(free[2:], t + coalesce(service_us, 0)))
+        from (select i.*, w.free, greatest(i.arrived_us, w.free[1], coalesce(w.t + {INTERVAL_US}, i.arrived_us)) as t from w join i on i.upstream = w.upstream and i.i = w.i + 1))
+    select upstream, arrived_us, seq, service_us, t as dispatch_us from w where i > 0"""
+
 SQL = {
+    "paced_schedule_multi": _MULTI,
     "queue_position": with_("fresh") + "select seq, upstream, row_number() over (partition by upstream order by arrived_us, seq) as position from fresh",
     "paced_schedule": _PACED + " select seq, upstream, dispatch_us, dispatch_us - arrived_us as wait_us from paced",
     "paced_schedule_serial": _SERIAL + " select seq, upstream, dispatch_us, dispatch_us - arrived_us as wait_us from serial",

@@ -74,11 +74,20 @@ _PICKS = "with m as (select s_nationkey as pool_id, s_suppkey as member_id, s_ac
 _LATEST = "select pool_id, member_id, at_us, hb_id, address, capacity_rps, interval_us from beats {where} qualify row_number() over (partition by pool_id, member_id order by at_us desc, hb_id desc) = 1"
 _CAPACITY = _FINAL + ", " + with_("members").removeprefix("with ") + ", capacity as (select pool_id, round(sum(case when declared_rps * coalesce(reputation, 1) > 0 then declared_rps * coalesce(reputation, 1) else 0.001 end), 6) as capacity_rps, count(*) as members from members left join final using (member_id) group by pool_id)"
 
+#: One event after the other: reputation, when the timer started, how many evictions so far, and whether this one is another.
+_EPOCHS = with_("outcomes").replace("with ", "with recursive ", 1) + f""", i as (select member_id, at_us, kind, row_number() over (partition by member_id order by at_us, l_orderkey, l_linenumber, l_extendedprice) as i from outcomes),
+    w as (select member_id, 0::bigint as i, 1.0::double as rep, null::bigint as since, 0 as epoch, false as gone, 0::bigint as at_us from (select distinct member_id from outcomes)
+        union all select member_id, i, case when out then 1.0 else rep end, case when out or kind = 'success' or kind = 'failure' and rep > 0.05 then null when kind = 'failure' then coalesce(since, at_us) else since end, epoch + out::int, out, at_us
+        from (select *, kind = 'failure' and rep <= 0.05 and coalesce(at_us - since >= {STAY_US}, false) as out
+            from (select i.*, w.since, w.epoch, case i.kind when 'failure' then w.rep * 0.5 when 'success' then least(1.0, w.rep * 1.5) else least(1.0, w.rep * 1.1) end as rep from w join i on i.member_id = w.member_id and i.i = w.i + 1)))
+    select member_id, epoch, at_us as evicted_us from w where gone"""
+
 QUERIES = {
     f.__name__: f
     for f in (reputation_trajectory, reputation_final, pool_capacity, wrr_schedule, wrr_share, floor_eviction_first, floor_eviction_epochs, member_latest, heartbeat_gaps, alive_members)
 }
 SQL = {
+    "floor_eviction_epochs": _EPOCHS,
     "reputation_trajectory": _REPUTED + "select at_us, l_orderkey, l_linenumber, l_extendedprice, member_id, kind, round(reputation + 1e-9, 6) as reputation from reputed",
     "reputation_final": _FINAL + "select * from final",
     "pool_capacity": _CAPACITY + "select * from capacity",

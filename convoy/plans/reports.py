@@ -109,11 +109,12 @@ def scenario_workers(spark, sf):
 
 
 def scenario_overload(spark, sf):
-    """Each worker of the harsh scenario gets up to seven requests a second for a minute."""
-    w = scenario.workers(spark, 24).where("scenario = 'harsh'").withColumn("second", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    """Each worker of the harsh scenario, and two bad ones, get up to seven requests a second for a minute."""
+    bad = spark.range(25, 27).select(F.lit("harsh").alias("scenario"), F.col("id").cast("int").alias("worker_id"), F.lit("bad").alias("behavior"), F.lit(5.0).alias("capacity_rps"))
+    w = scenario.workers(spark, 24).where("scenario = 'harsh'").unionByName(bad).withColumn("second", F.explode(F.sequence(F.lit(1), F.lit(60))))
     n = (F.col("worker_id") + F.col("second")) % 8
     calls = w.withColumn("n", n).where("n > 0").withColumn("seq", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return scenario.overload(calls)
+    return scenario.overload(calls).withColumns({c: F.round(c, 6) for c in ("advertised_rps", "overload")})
 
 
 def _responses(spark, sf):
@@ -144,7 +145,7 @@ def scenario_summary(spark, sf):
     r = requests(spark, sf)
     per = _responses(spark, sf).groupBy("second").agg(F.count_if(F.col("status") < 500).alias("c"), F.count_if(F.col("status") >= 500).alias("f")).withColumn("all", F.lit(0))
     up = prefix(per, ["all"], ["second"], blocks_of("second", 24), {"completed": Fold("sum", F.col("c")), "failed": Fold("sum", F.col("f"))})
-    jobs_n = r.count() * 9 // 10
+    jobs_n = F.floor(r.agg(F.count(F.lit(1))).scalar() * 9 / 10)
     return scenario.summary(up, jobs_n)
 
 
@@ -228,11 +229,36 @@ def approx_tenants(spark, sf):
     return metrics.approx_distinct(requests(spark, sf), ["upstream"], "user_id")
 
 
+def approx_tenants_error(spark, sf):
+    """Exact numbers of tenants, and whether the approximate ones lie within five standard errors of them."""
+    r = requests(spark, sf)
+    exact = r.groupBy("upstream").agg(F.count_distinct("user_id").alias("n_tenants"))
+    return exact.join(metrics.approx_distinct(r, ["upstream"], "user_id"), "upstream").select("upstream", "n_tenants", (F.abs(F.col("approx_n") - F.col("n_tenants")) <= 0.1 * F.col("n_tenants")).alias("within"))
+
+
 _LAT = "count(value) as n, min(value) as min, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.99), 6) as p99, max(value) as max"
 _RESP = with_("requests") + f", resp as (select arrived_us // {HOUR_US} as second, cast(user_id % 20 + 1 as int) as worker_id, case when upstream = 'error' then 500 when k % 10 = 0 then 429 else 200 end as status from requests), obs as (select second, worker_id, count(*) as requests, count(*) filter (status = 200) as http_200, count(*) filter (status = 429) as http_429, count(*) filter (status = 500) as http_500 from resp group by all) "
 _ADM = with_("requests") + ", f as (select *, min((arrived_us, seq)) filter (upstream <> 'error') over (partition by idem_hash) as first from requests), adm as (select *, case when (arrived_us, seq) = first then 'accepted' when (arrived_us, seq) > first then 'duplicate' else 'rejected' end as outcome, first[2] as accepted_seq from f) "
 _SESSION = "with t as (select cast(user_id as varchar) as user_id, epoch_us(ts) // 1000 as t from events), m as (select *, case when t - lag(t) over (partition by user_id order by t) <= 21600000 then 0 else 1 end as fresh from t), n as (select *, sum(fresh) over (partition by user_id order by t rows unbounded preceding) as s from m) select user_id, min(t) as start_ms, max(t) as end_ms, max(t) - min(t) as duration_ms, count(*) as n_events from n group by user_id, s"
 
+_WORKERS = "with w as (select cast(i as int) as i, s from range(1, 25) t(i), (values ('steady'), ('weighted'), ('flapping'), ('backpressure'), ('recovering'), ('mixed'), ('harsh')) x(s)) select s as scenario, i as worker_id, case when s = 'flapping' and i = 24 then 'flapping' when s = 'backpressure' and i % 3 = 0 then 'dynamic' when s = 'recovering' and i = 24 then 'recovering' when s in ('mixed', 'harsh') and i = 24 then 'recovering' when s in ('mixed', 'harsh') and i = 23 then 'flapping' when s = 'harsh' and i % 3 = 0 then 'fragile' when s in ('mixed', 'harsh') and i % 4 = 0 then 'dynamic' else 'stable' end as behavior, cast(case when s = 'weighted' then 1 + i % 5 when s = 'harsh' and (i >= 23 or i % 3 = 0) then 3 when s = 'harsh' then 4 else 5 end as double) as capacity_rps from w"
+#: One request after the other: what is left of the overload, what this request adds, and the rules by behaviour, crash and load.
+_OVERLOAD = """ww as (select worker_id, behavior, capacity_rps from ({workers}) where scenario = 'harsh' union all select unnest([25, 26]), 'bad', 5.0),
+    calls as (select worker_id, behavior, capacity_rps, cast(second as int) as second, cast(seq as int) as seq, row_number() over (partition by worker_id order by second, seq) as i
+        from ww, range(1, 61) s(second), range(1, 8) c(seq) where seq <= (worker_id + second) % 8),
+    w as (select worker_id, 0::bigint as i, ''::varchar as behavior, 0::double as capacity_rps, 0 as second, 0 as seq, 0::double as o, 0 as crashed_until, 0 as n, 0 as status, 0::double as rate, 0 as delay from ww
+        union all select worker_id, i, behavior, capacity_rps, second, seq, o, case when o >= 8 then greatest(crashed_until, second + 2) else crashed_until end, n,
+            case when crash or o >= 5 then 500 else st end, case when o >= 5 then 1.0 when o >= 3 then greatest(1.0, capacity_rps * 0.5) when crash then 1.0 else ra end,
+            greatest(case when crash or o >= 8 then 250 when o >= 5 then 150 when o >= 3 then 100 else 0 end, case when n > floor(capacity_rps * 2) then 75 else 0 end)
+        from (select *, crashed_until >= second as crash,
+                case when behavior = 'bad' or behavior = 'flapping' and second between 5 and 10 or behavior = 'recovering' and second <= 5 then 500 when behavior = 'dynamic' and n > floor(greatest(1.0, capacity_rps) * 1.5) then 429 else 200 end as st,
+                case behavior when 'stable' then case when n > floor(capacity_rps * 1.4) then greatest(1.0, capacity_rps * 0.7) else 0.0 end when 'dynamic' then greatest(1.0, capacity_rps) when 'flapping' then case when second between 5 and 10 then 1.0 else 0.0 end
+                    when 'recovering' then case when second <= 5 then 1.0 when second <= 10 then 2.0 else capacity_rps end when 'bad' then 1.0 else greatest(1.0, capacity_rps - o / 2) end as ra
+            from (select *, kept + greatest(0, n - cast(floor(capacity_rps) as int)) * case behavior when 'fragile' then 1.4 when 'dynamic' then 1.0 when 'flapping' then 1.2 when 'recovering' then 1.2 else 0.7 end as o
+                from (select c.*, w.crashed_until, case when c.second = w.second then w.n + 1 else 1 end as n,
+                        case when c.second = w.second then w.o when w.o * pow(0.65, c.second - w.second) < 0.1 then 0 else w.o * pow(0.65, c.second - w.second) end::double as kept
+                    from w join calls c on c.worker_id = w.worker_id and c.i = w.i + 1))))
+    select worker_id, behavior, capacity_rps, second, seq, status, round(rate, 6) as advertised_rps, delay as delay_ms, round(o, 6) as overload, crashed_until >= second as crashed from w where i > 0"""
 _REPLAYS = """with recursive c as (select *, ts_seconds - ts_seconds % 900 + 450 as r, coalesce(abs(ts_seconds - ts_seconds % 900 + 450 - ts_seconds) <= 300, false) as fresh from challenges),
     f as (select nonce, r, min(challenge_id) as t from c where fresh and nonce is not null group by all),
     lives as (select nonce, min(r) as s from f group by nonce union all
@@ -248,7 +274,7 @@ QUERIES = {
         admission_decision, admission_outcome, retry_after_streaks, oversized_bodies, admission_snapshot, nonce_replay, nonce_replay_days, delivery_digest, metrics_by_upstream, latency_by_upstream, latency_summary,
         failures_by_reason, webhook_attempts, queue_depth_series, flow_rate_changes, scenario_workers, scenario_overload, observations, observations_pivot, observations_csv, scenario_summary,
         round_robin_assign, burst_phases, status_histogram, first_rejection, recovery_census, tenant_wait, ramp_ceiling, drain_time, rate_asof, arrivals_tumbling, arrivals_sliding, arrivals_session,
-        traffic_rollup, approx_tenants,
+        traffic_rollup, approx_tenants, approx_tenants_error,
     )
 }
 SQL = {
@@ -267,7 +293,8 @@ SQL = {
     "webhook_attempts": "select coalesce(response_status, 0) between 200 and 299 as delivered, count(*) as n, round(avg(case when coalesce(response_status, 0) between 200 and 299 then 1 else 5 end), 6) as mean_attempts from target_server group by all",
     "queue_depth_series": _PACED + ", e as (select upstream, arrived_us as at_us, seq, 1 as change from paced union all select upstream, dispatch_us, seq, -1 from paced) select *, cast(sum(change) over (partition by upstream order by at_us, -change, seq rows unbounded preceding) as bigint) as depth from e",
     "flow_rate_changes": _RATES + ", fl as (select seq, upstream, floor(rps * 100) / 100 as flow, arrived_us from rates), l as (select *, lag(flow) over (partition by upstream order by arrived_us, seq) as last from fl) select seq, upstream, flow from l where last is null or last <> flow",
-    "scenario_workers": "with w as (select cast(i as int) as i, s from range(1, 25) t(i), (values ('steady'), ('weighted'), ('flapping'), ('backpressure'), ('recovering'), ('mixed'), ('harsh')) x(s)) select s as scenario, i as worker_id, case when s = 'flapping' and i = 24 then 'flapping' when s = 'backpressure' and i % 3 = 0 then 'dynamic' when s = 'recovering' and i = 24 then 'recovering' when s in ('mixed', 'harsh') and i = 24 then 'recovering' when s in ('mixed', 'harsh') and i = 23 then 'flapping' when s = 'harsh' and i % 3 = 0 then 'fragile' when s in ('mixed', 'harsh') and i % 4 = 0 then 'dynamic' else 'stable' end as behavior, cast(case when s = 'weighted' then 1 + i % 5 when s = 'harsh' and (i >= 23 or i % 3 = 0) then 3 when s = 'harsh' then 4 else 5 end as double) as capacity_rps from w",
+    "scenario_workers": _WORKERS,
+    "scenario_overload": "with recursive " + _OVERLOAD.replace("{workers}", _WORKERS),
     "observations": _RESP + "select * from obs",
     "observations_pivot": _RESP + "select second, " + ", ".join(f"cast(coalesce(sum(requests) filter (worker_id = {w}), 0) as bigint) as w{w}" for w in WORKERS) + " from obs group by second",
     "observations_csv": _RESP + "select second::varchar as second, worker_id::varchar as worker_id, requests::varchar as requests, http_200::varchar as http_200, http_429::varchar as http_429, http_500::varchar as http_500, printf('%.2f', requests / 3) as advertised_rps, printf('%.2f', http_500 * 0.7::double) as overload, '5.00' as capacity_rps, printf('%.4f', http_200 / requests) as reputation from obs",
@@ -283,6 +310,7 @@ SQL = {
     "rate_asof": with_("requests") + "select e.user_id, e.arrived_us, e.seq, c.value as last_value from (select * from requests where upstream = 'error') e asof left join (select * from requests where upstream = 'click') c on e.user_id = c.user_id and e.arrived_us >= c.arrived_us",
     "arrivals_tumbling": f"select epoch_us(ts) // {DAY_US} * {DAY_US} as start_us, event_type as upstream, count(*) as n from events group by all",
     "arrivals_sliding": f"select (epoch_us(ts) // {DAY_US} - back) * {DAY_US} as start_us, event_type as upstream, count(*) as n from events, (values (0), (1)) b(back) group by all",
+    "approx_tenants_error": "select event_type as upstream, count(distinct user_id) as n_tenants, true as within from events group by all",
     "arrivals_session": _SESSION,
     "traffic_rollup": with_("requests") + "select upstream, user_id, cast(grouping(upstream, user_id) as bigint) as level, count(*) as n, cast(sum(service_us) as bigint) as service_us from requests group by rollup (upstream, user_id)",
 }

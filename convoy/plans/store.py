@@ -56,8 +56,10 @@ def deleted_jobs(spark, sf):
 
 
 def request_validation(spark, sf):
+    """Jobs without a url, and failed ones, name their queue as a pool, so that all rules are met: neither, both and either."""
     message = routing.validation_message(idempotent_key="idempotent_key_hash", pool_id="pool_id")
-    return exports(spark, sf).withColumn("pool_id", F.lit("")).select("id", "loaded_us", F.upper("method").alias("method"), message.alias("message")).distinct()
+    pool = F.when((F.coalesce("url", F.lit("")) == "") | (F.col("status") == "failed"), F.col("queue_key"))
+    return exports(spark, sf).withColumn("pool_id", pool).select("id", "loaded_us", F.upper("method").alias("method"), message.alias("message")).distinct()
 
 
 def member_validation(spark, sf):
@@ -88,7 +90,7 @@ _DEDUP, _LATEST = with_("deduped"), with_("latest")
 _API = "coalesce(" + ", ".join(f"nullif(case when json_valid(headers) then headers->>'$.\"{h}\"' end, '')" for h in ("Authorization", "x-api-key", "api-key")) + ", '')"
 _RULES = " ".join(
     f"when {c} then '{m}'"
-    for c, m in zip(("coalesce(user_id, '') = ''", "coalesce(idempotent_key_hash, '') = ''", "coalesce(url, '') = ''", "false", "coalesce(method, '') = ''", "coalesce(webhook_url, '') = ''"), routing.MESSAGES, strict=True)
+    for c, m in zip(("coalesce(user_id, '') = ''", "coalesce(idempotent_key_hash, '') = ''", "coalesce(url, '') = '' and coalesce(pool_id, '') = ''", "coalesce(url, '') <> '' and coalesce(pool_id, '') <> ''", "coalesce(method, '') = ''", "coalesce(webhook_url, '') = ''"), routing.MESSAGES, strict=True)
 )
 
 QUERIES = {
@@ -109,7 +111,7 @@ SQL = {
     "recover_in_flight": _LATEST + f"select id, user_id, queue_key, case when status = 'in_flight' then 'queued' else status end as status, created_ms, expires_at, coalesce(status = 'in_flight', false) and expires_at > {NOW_MS} as returned from latest where queue_key = '__shared__'",
     "ttl_sweep": _LATEST + f"select id, user_id, queue_key, case when status = 'in_flight' and created_ms < {NOW_MS} - 300000 then 'queued' else status end as status, created_ms, expires_at from latest where expires_at >= {NOW_MS}",
     "deleted_jobs": _LATEST + f"select {PAIR} from latest where not exists (select 1 from target_server t where t.job_id = latest.id and t.status = 'failed')",
-    "request_validation": with_("exports") + f"select distinct id, loaded_us, upper(method) as method, case {_RULES} else '' end as message from exports",
+    "request_validation": with_("exports") + f", p as (select *, case when coalesce(url, '') = '' or status = 'failed' then queue_key end as pool_id from exports) select distinct id, loaded_us, upper(method) as method, case {_RULES} else '' end as message from p",
     "member_validation": "select distinct hb_id, case when coalesce(pool_id, '') = '' then 'pool_id is required' when coalesce(member_id, '') = '' then 'member_id is required' when coalesce(address, '') = '' then 'address is required' when not coalesce(capacity_rps > 0, false) then 'capacity_rps must be positive' else '' end as message, case when heartbeat_interval_seconds > 0 then heartbeat_interval_seconds else 30 end as interval_s from heartbeats",
     "rate_config_lookup": _LATEST + f", d as (select max(rps) as r, max(max_concurrent) as c from rate_cfg where host is null), c as (select host, max((rps, max_concurrent)) as e from rate_cfg where host is not null group by host) select id, case when e is null then case when r > 0 then r else 2.0 end else e[1] end as rps, case when e is null then case when d.c > 0 then d.c else 1 end else e[2] end as max_concurrent from latest cross join d left join c on c.host = regexp_extract(coalesce(url, ''), {URL}, 2)",
     "upstream_key": _LATEST + f"select id, {UPSTREAM} as upstream, replace(regexp_replace({UPSTREAM}, '^[a-z][a-z0-9+.-]*://', ''), ':', '_') as trust_name from latest",

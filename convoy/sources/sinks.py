@@ -10,11 +10,23 @@ from pyspark.sql import types as T
 REQUEST = T.StructType([T.StructField(n, T.StringType()) for n in ("user_id", "idempotent_key", "url", "pool_id", "method", "body", "webhook_url")] + [T.StructField("headers", T.MapType(T.StringType(), T.StringType()))])
 
 
-def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Requests from files of JSON lines, with ``bad_line``: the text of a line that is no JSON object, else null."""
+#: Bytes of the longest line that is read as a request (fixed value).
+MAX_LINE = 16 << 20
+
+
+def read_requests(spark: SparkSession, path: str, stream: bool = False, max_line: int = MAX_LINE) -> DataFrame:
+    """Requests from files of JSON lines, with ``bad_line``: the text of a line that is no JSON object, else null.
+
+    Of a line of more than ``max_line`` bytes nothing is kept but a note of its length. Blank lines are none.
+    """
     schema = T.StructType([*REQUEST.fields, T.StructField("bad_line", T.StringType())])
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").json(path)
+    lines = (spark.readStream if stream else spark.read).text(path).where(F.btrim("value") != "")
+    long = F.octet_length("value") > max_line
+    parsed = F.from_json(F.when(~long, F.col("value")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line"})
+    note = F.concat(F.lit("line of "), F.octet_length("value").cast("string"), F.lit(" bytes"))
+    names = [f.name for f in REQUEST.fields]
+    kept = lines.select(parsed.alias("r"), F.when(long, note).alias("n"))
+    return kept.select(*[F.col(f"r.{n}").alias(n) for n in names], F.coalesce("n", "r.bad_line").alias("bad_line"))
 
 
 def parse_records(rows: DataFrame, value: str, schema: str) -> DataFrame:

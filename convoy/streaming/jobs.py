@@ -6,7 +6,8 @@ Deadlines are exact: a member is lost when its deadline passes, not at the next
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,29 @@ from convoy.operators.pools import FAILURE, HEARTBEAT, MISSED, SUCCESS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def enable_state(spark: SparkSession) -> None:
-    """Stateful processors need this state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def require(spark: SparkSession, setting: str, value: str) -> None:
+    """Operators leave the settings of a session alone; they say what they need."""
+    if spark.conf.get(setting, None) != value:
+        raise ValueError(f"{setting} must be {value}")
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings (``__`` for dots) for the time of a query, put back afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def enable_state(spark: SparkSession):
+    """Settings for stateful processors, which need this state store."""
+    return settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB)
 
 
 def first_only(requests: DataFrame, key: str, at: str, late: str) -> DataFrame:
@@ -29,12 +50,15 @@ def first_only(requests: DataFrame, key: str, at: str, late: str) -> DataFrame:
 
 
 class _Reputation(StatefulProcessor):
+    def __init__(self, order: Sequence[str]):
+        self.order = list(order)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("reputation", "reputation double, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rep, n = self.state.get() if self.state.exists() else (1.0, 0)
-        events = pd.concat(list(rows)).sort_values(["at_us", "seq"], kind="stable")
+        events = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         for kind in events["kind"]:
             rep = rep * FAILURE if kind == "failure" else min(1.0, rep * (SUCCESS if kind == "success" else HEARTBEAT))
         n += len(events)
@@ -45,15 +69,16 @@ class _Reputation(StatefulProcessor):
         pass
 
 
-def reputation(events: DataFrame) -> DataFrame:
-    """``member_id, reputation, n_events`` after each batch of a member's events (member_id, kind, at_us, seq).
+def reputation(events: DataFrame, order: Sequence[str] = ("at_us", "seq")) -> DataFrame:
+    """``member_id, reputation, n_events`` after each batch of a member's events (member_id, kind and those of ``order``).
 
-    Events are folded in order within a batch and batches in order of arrival.
+    Events are folded in order within a batch and batches in order of arrival. Within a batch a member's rows are gathered
+    to be sorted; the reader's limits on a batch (``maxFilesPerTrigger``) bound them.
     """
-    enable_state(events.sparkSession)
+    require(events.sparkSession, "spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kinds = dict(events.dtypes)
     return events.groupBy("member_id").transformWithStateInPandas(
-        _Reputation(), outputStructType=f"member_id {kinds['member_id']}, reputation double, n_events bigint", outputMode="Update", timeMode="None"
+        _Reputation(order), outputStructType=f"member_id {kinds['member_id']}, reputation double, n_events bigint", outputMode="Update", timeMode="None"
     )
 
 
@@ -96,7 +121,7 @@ def lost_members(beats: DataFrame, at: str, late: str) -> DataFrame:
     ``beats`` has pool_id, member_id, interval_us, at_us and the timestamp ``at``. A member without an interval is never
     lost. A silence is reported by the beat that ends it or, once the watermark passes the deadline, by a timer.
     """
-    enable_state(beats.sparkSession)
+    require(beats.sparkSession, "spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kept = beats.withWatermark(at, late).select("pool_id", "member_id", "at_us", "interval_us", at)
     return kept.groupBy("pool_id", "member_id").transformWithStateInPandas(
         _Liveness(), outputStructType="pool_id string, member_id string, at_us bigint, lost_us bigint", outputMode="Append", timeMode="EventTime"

@@ -197,8 +197,8 @@ def test_worker_overload():
 
 def test_summary(spark):
     df = spark.createDataFrame([(1, 3, 0), (2, 8, 1), (3, 9, 1)], "second bigint, completed bigint, failed bigint")
-    assert values(scenario.summary(df, 10), "completed", "failed", "remaining", "drained_at") == [(9, 1, 0, 3)]
-    assert values(scenario.summary(df, 11), "remaining", "drained_at") == [(1, 0)]
+    assert values(scenario.summary(df, F.lit(10)), "completed", "failed", "remaining", "drained_at") == [(9, 1, 0, 3)]
+    assert values(scenario.summary(df, F.lit(11)), "remaining", "drained_at") == [(1, 0)]
 
 
 def test_lenient_json(spark, tmp_path):

@@ -10,7 +10,15 @@ import pytest
 
 from convoy.plans.problems import p1_sessions
 from convoy.plans.streams import stream_sessions
-from convoy.streaming.jobs import first_only, lost_members, reputation
+from convoy.streaming.jobs import enable_state, first_only, lost_members, reputation
+
+
+
+@pytest.fixture(autouse=True)
+def _state(spark):
+    with enable_state(spark):
+        yield
+
 
 BASE = datetime(2024, 1, 1)
 
