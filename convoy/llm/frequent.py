@@ -89,6 +89,11 @@ def frequent_items(df: DataFrame, fields: Sequence[str], share: float = 0.01, er
     count as rows. Summaries merge by adding counts and possible misses; a value a summary lacks may have been missed
     there as often as that summary pruned. An empty table gives an empty result.
     """
+    return _intervals(df, fields, share, error).drop("total")
+
+
+def _intervals(df: DataFrame, fields: Sequence[str], share: float, error: float) -> DataFrame:
+    """The same with ``total``, the rows of the table as the summaries counted them."""
     if not 0 < error < share <= 1:
         raise ValueError("error must be positive and below share")
     shared_dir(df.sparkSession)
@@ -98,13 +103,13 @@ def frequent_items(df: DataFrame, fields: Sequence[str], share: float = 0.01, er
         .agg(F.sum("seen").alias("seen"), F.sum("missed").alias("missed"), F.sum("buckets").alias("buckets"))
         .checkpoint()  # summaries are small; both uses below read them once made
     )
-    totals = merged.where("item_value is null").select("field_name", F.col("seen").alias("n_rows"), F.col("buckets").alias("pruned"))
+    totals = merged.where("item_value is null").select("field_name", F.col("seen").alias("total"), F.col("buckets").alias("pruned"))
     return (
         merged.where("item_value is not null")
         .join(F.broadcast(totals), "field_name")  # one row per field named
         .withColumn("count_high", F.expr("seen + missed + pruned - buckets"))
-        .where(F.col("count_high") >= F.col("n_rows") * F.lit(share))
-        .select("field_name", "item_value", F.col("seen").alias("count_low"), "count_high")
+        .where(F.col("count_high") >= F.col("total") * F.lit(share))
+        .select("field_name", "item_value", F.col("seen").alias("count_low"), "count_high", "total")
     )
 
 
@@ -114,11 +119,11 @@ def frequent_exact(df: DataFrame, fields: Sequence[str], share_percent: int = 1,
     A second pass counts the candidates of :func:`frequent_items`; there are at most ``1 / (share - error)`` per field,
     so they are broadcast.
     """
-    candidates = frequent_items(df, fields, share_percent / 100, error)
+    candidates = _intervals(df, fields, share_percent / 100, error)
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("item_value")) for f in fields]))
     counted = (
         df.select(pairs.alias("p")).select("p.*")
         .join(F.broadcast(candidates), ["field_name", "item_value"])
-        .groupBy("field_name", "item_value", "count_low", "count_high").agg(F.count(F.lit(1)).alias("n_rows"))
+        .groupBy("field_name", "item_value", "count_low", "count_high", "total").agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    return counted.where(F.col("n_rows") * 100 >= df.agg(F.count(F.lit(1))).scalar() * share_percent)
+    return counted.where(F.col("n_rows") * 100 >= F.col("total") * share_percent).drop("total")
